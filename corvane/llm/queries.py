@@ -1,0 +1,34 @@
+"""Queries of the training-text problems (p2 to p10), with SQL where SQL can express them."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from corvane.llm.lookalike import canonical_documents, same_looking_pairs
+from corvane.session import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return same_looking_pairs(table(spark, d, "documents"))
+
+
+@query("p10_canonical")
+def p10_canonical(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's canonical form, case folded."""
+    return canonical_documents(table(spark, d, "documents"))

@@ -29,16 +29,22 @@ RESEMBLE = (
     "օo սu հh ցg ոn զq ԼL ՍU ՕO ѐè ёë ЁË їï ЇÏ ϊï "
     "ᎪA ᏴB ᏟC ᎠD ᎬE ᏀG ᎻH ᎥI ᎫJ ᏦK ᏞL ᎷM ᏢP ᎡR ᏚS ᎢT ᏙV ᎳW ᏃZ"
 )
-# Characters that show nothing (the default-ignorable ones) as ranges of code points.
+# Code points of characters that show nothing (the default-ignorable ones).
 INVISIBLE = (
-    "­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯"
-    "ㅤ︀-️﻿ﾠ￰-￸\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0000-\U000e0fff"
+    "00AD 034F 061C 115F-1160 17B4-17B5 180B-180F 200B-200F 202A-202E 2060-206F 3164 FE00-FE0F FEFF FFA0 "
+    "FFF0-FFF8 1BCA0-1BCA3 1D173-1D17A E0000-E0FFF"
 )
-#: Blanks besides those that NFKC maps to a space already; line breaks are no blanks.
-BLANKS = "\t   -   ⠀　"
+# Code points of blanks; line breaks are no blanks.
+BLANKS = "0009 00A0 1680 2000-200A 202F 205F 2800 3000"
+
+
+def _any_of(points: str) -> re.Pattern:
+    ranges = [[chr(int(x, 16)) for x in p.split("-")] for p in points.split()]
+    return re.compile("[" + "".join("-".join(r) for r in ranges) + "]")
+
 
 _TABLE = {ord(p[0]): p[1] for p in RESEMBLE.split()}
-_INVISIBLE, _BLANKS = re.compile(f"[{INVISIBLE}]"), re.compile(f"[{BLANKS}]")
+_INVISIBLE, _BLANKS = _any_of(INVISIBLE), _any_of(BLANKS)
 
 
 def canonical(text: str, fold: bool = False) -> str:

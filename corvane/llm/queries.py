@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from corvane.llm.leakage import find_leaks
 from corvane.llm.lookalike import canonical_documents, same_looking_pairs
+from corvane.llm.neardup import near_duplicate_classes, near_duplicate_pairs
 from corvane.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +26,35 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _source_records(spark: SparkSession, d: str) -> DataFrame:
+    """Source records once each; rows delivered twice differ only in ingested_at."""
+    return table(spark, d, "records").where(F.col("kind") == "source")
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    r = _source_records(spark, d).select("ref", "paragraphs")
+    return near_duplicate_pairs(r, threshold=0.6, width=3)
+
+
+@query("p2_classes")
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each source record's class of equal texts and the number of classes linked to it (5 words, 0.8)."""
+    return near_duplicate_classes(_source_records(spark, d).select("ref", "paragraphs"))
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    f = find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), n_words=12)
+    return f.select("doc_id", "item_id").distinct()
+
+
+@query("p9_passages")
+def p9_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Every passage in common, and places where two thirds of the words around a rare one agree."""
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), n_words=12, near=0.67)
+
+
 @query("p10_found")
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return same_looking_pairs(table(spark, d, "documents"))

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from corvane.llm.leakage import find_leaks
 from corvane.llm.lookalike import canonical_documents, same_looking_pairs
 from corvane.llm.neardup import near_duplicate_classes, near_duplicate_pairs
+from corvane.llm.neighbours import neighbour_pairs, neighbour_sample
+from corvane.llm.packing import pack_documents
+from corvane.llm.splitting import oversized, split_items
 from corvane.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +46,39 @@ def p2_classes(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_classes(_source_records(spark, d).select("ref", "paragraphs"))
 
 
+@query("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbour_pairs(table(spark, d, "para_vectors"), k=5)
+
+
+@query("p3_neighbours")
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five neighbours of every vector whose id is divisible by 20, against all vectors."""
+    return neighbour_sample(table(spark, d, "para_vectors"), k=5, every=20)
+
+
+def _oversized(spark: SparkSession, d: str) -> DataFrame:
+    return oversized(table(spark, d, "records"), table(spark, d, "units"), table(spark, d, "project_configs"))
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return split_items(_oversized(spark, d), with_text=False).where("piece > 0").select("project_id", "ref").distinct()
+
+
+@query("p5_pieces")
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Every piece of every oversized source record of each project."""
+    return split_items(_oversized(spark, d))
+
+
+@query("p8_containers")
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of each document (or piece of one) at the chunk size of project 3."""
+    size = table(spark, d, "project_configs").where("project_id = 3").select("chunk_tokens").first()[0]
+    return pack_documents(table(spark, d, "documents"), size)
+
+
 @query("p9_found")
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     f = find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), n_words=12)

@@ -91,24 +91,38 @@ def zone_offset(instant: Column, zone: Column) -> Column:
     return F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(instant), zone)) - instant
 
 
-def local_to_utc(local: Column, zone: Column, policy: str = "reject") -> Column:
-    """UTC second of a local wall-clock reading (seconds since 1970 as if it were UTC).
+def _let(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once, however often later expressions name them.
+
+    inline() of one struct is a row generator: neither projections are merged nor filters pushed through
+    it, so that the cascade stays a line of small steps instead of one expression of exponential size.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def local_to_utc(df: DataFrame, local: str, zone: str, out: str, policy: str = "reject") -> DataFrame:
+    """Add column `out`: the UTC second of a local wall-clock reading (seconds since 1970 as if it were UTC).
 
     The offsets in force a day before and a day after give at most two candidate instants; those that
     read back as the same wall clock are solutions. None: the clocks skipped it. Two: it passed twice.
     policy: "reject" (null for both), "earlier" or "later" (of two; for skipped times the instant by the
     offset before or after the change).
     """
-    before, after = local - zone_offset(local - 86400, zone), local - zone_offset(local + 86400, zone)
-    ok_before = before + zone_offset(before, zone) == local
-    ok_after = after + zone_offset(after, zone) == local
+    wall, z = F.col(local), F.col(zone)
+    a, b, ok_a, ok_b = (f"__lu_{n}" for n in ("a", "b", "ok_a", "ok_b"))
+    df = _let(df, **{a: wall - zone_offset(wall - 86400, z), b: wall - zone_offset(wall + 86400, z)})
+    before, after = F.col(a), F.col(b)
+    df = _let(df, **{ok_a: before + zone_offset(before, z) == wall, ok_b: after + zone_offset(after, z) == wall})
+    first, second = F.col(ok_a), F.col(ok_b)
     if policy == "reject":
-        return F.when(ok_before & (~ok_after | (before == after)), before).when(ok_after & ~ok_before, after)
-    if policy == "earlier":
-        return F.when(ok_before, before).when(ok_after, after).otherwise(before)
-    if policy == "later":
-        return F.when(ok_after, after).when(ok_before, before).otherwise(after)
-    raise ValueError(f"unknown policy {policy!r}")
+        value = F.when(first & (~second | (before == after)), before).when(second & ~first, after)
+    elif policy == "earlier":
+        value = F.when(first, before).when(second, after).otherwise(before)
+    elif policy == "later":
+        value = F.when(second, after).when(first, before).otherwise(after)
+    else:
+        raise ValueError(f"unknown policy {policy!r}")
+    return _let(df, **{out: value}).drop(a, b, ok_a, ok_b)
 
 
 def known_zones(df: DataFrame, zone: str) -> DataFrame:
@@ -122,7 +136,8 @@ def normalise_timestamps(
     """Add column `out` (bigint): the UTC second that column `text` means, or null.
 
     default_zone names the column with the IANA zone for texts that state none. See the module for the
-    cases that give null. Other columns pass through; working columns carry a private prefix.
+    cases that give null. Other columns pass through (one named like `out` is
+    replaced); working columns carry a private prefix.
     """
     p = "__ts_"
     raw = F.trim(F.regexp_replace(F.lower(F.col(text)), r"[\s\u00a0\u2007\u202f]+", " "))
@@ -130,10 +145,10 @@ def normalise_timestamps(
     days = "mon|tue|tues|wed|thu|thur|thurs|fri|sat|sun|monday|tuesday|wednesday|thursday|friday|saturday|sunday"
     raw = F.regexp_replace(raw, rf"^(?:{days})[.,]*\s+", "")
     raw = F.regexp_replace(raw, r"\s*uhr$", "")
-    df = df.withColumn(p + "t", raw)
+    df = _let(df, **{p + "t": raw})
     t = F.col(p + "t")
     hit = F.coalesce(*[F.when(t.rlike(f"^(?:{pat})$"), F.regexp_replace(t, f"^(?:{pat})$", rep)) for pat, rep in CASCADE])
-    df = df.withColumn(p + "f", F.when(~t.rlike(r"^\d{1,13}$") | t.rlike(r"^\d{14}$"), F.split(hit, r"\|")))
+    df = _let(df, **{p + "f": F.when(~t.rlike(r"^\d{1,13}$"), F.split(hit, r"\|"))})
     part = [F.col(p + "f")[i] for i in range(9)]
     names = F.create_map(*[F.lit(x) for n, ws in MONTHS.items() for w in ws.split() for x in (w, n)])
     hours = F.create_map(*[F.lit(x) for n, h in ZONES.items() for x in (n, h * 3600)])
@@ -145,16 +160,18 @@ def normalise_timestamps(
     short = F.when(order == "ymd", F.length(part[1])).otherwise(F.length(part[3])) == 2
     month = F.when(order == "dmy", names[part[2]]).when(order == "ymd", b).when(one_reading, F.when(month_first, a).otherwise(b))
     day = F.when(order == "ymd", c).when(order == "dmy", a).when(one_reading, F.when(month_first, b).otherwise(a))
-    df = df.select(
-        "*",
-        F.when(short, F.when(year <= 68, year + 2000).otherwise(year + 1900)).otherwise(year).alias(p + "y"),
-        month.alias(p + "m"),
-        day.alias(p + "d"),
-        part[4].try_cast("int").alias(p + "h"),
-        part[5].try_cast("int").alias(p + "n"),
-        F.coalesce(part[6].try_cast("int"), F.lit(0)).alias(p + "s"),
-        part[7].alias(p + "half"),
-        F.regexp_replace(part[8], r"\s", "").alias(p + "zone"),
+    df = _let(
+        df,
+        **{
+            p + "y": F.when(short, F.when(year <= 68, year + 2000).otherwise(year + 1900)).otherwise(year),
+            p + "m": month,
+            p + "d": day,
+            p + "h": part[4].try_cast("int"),
+            p + "n": part[5].try_cast("int"),
+            p + "s": F.coalesce(part[6].try_cast("int"), F.lit(0)),
+            p + "half": part[7],
+            p + "zone": F.regexp_replace(part[8], r"\s", ""),
+        },
     )
     y, m, d, h, n, s = (F.col(p + x) for x in "ymdhns")
     half, zone = F.col(p + "half"), F.col(p + "zone")
@@ -168,16 +185,18 @@ def normalise_timestamps(
     om = F.coalesce(F.regexp_extract(zone, r"[+-](\d{1,2}?)(?::?(\d{2}))?$", 2).try_cast("int"), F.lit(0))
     numeric = zone.rlike(r"^(?:gmt|utc)?[+-]\d")
     offset = F.when(numeric & (oh <= 15) & (om <= 59), sign * (oh * 3600 + om * 60)).when(~numeric, hours[zone])
-    df = df.select("*", local.alias(p + "l"), offset.alias(p + "o"))
+    df = _let(df, **{p + "l": local, p + "o": offset})
     digits = F.when(t.rlike(r"^\d{9,13}$"), t.cast("long"))
     stamp = F.when(F.length(t) <= 10, digits).otherwise(F.floor(digits / 1000))
     local = F.col(p + "l")
     own = F.when(zone != "", local - F.col(p + "o"))
     if default_zone:
-        z = F.col(default_zone)
-        own = F.when(zone != "", own).when(local.isNotNull() & z.isNotNull(), local_to_utc(local, z, policy))
-    df = df.withColumn(out, F.coalesce(stamp, own).cast("long"))
-    return df.drop(*[p + x for x in ("t", "f", "y", "m", "d", "h", "n", "s", "half", "zone", "l", "o")])
+        df = _let(df, **{p + "w": F.when(zone == "", local), p + "z": F.col(default_zone)})
+        df = local_to_utc(df, p + "w", p + "z", p + "u", policy)
+        own = F.coalesce(own, F.col(p + "u"))
+    df = _let(df, **{p + "out": F.coalesce(stamp, own).cast("bigint")})
+    keep = [c for c in df.columns if not c.startswith(p)]
+    return df.select(*[F.col(f"`{c}`") for c in keep if c != out], F.col(p + "out").alias(out))
 
 
 def source_instants(records: DataFrame, units: DataFrame, roots: DataFrame) -> DataFrame:

@@ -9,10 +9,10 @@ are allotted by cost: every bit is a chunk of its own, the e + 1 rarest bits get
 and are indexed, all others are skipped (allowance -1). Both sides use one global order of the bits, so
 a pair under the threshold shares an indexed chunk for certain. No pair is lost, at any size.
 
-Bounds that follow from the threshold prune candidates before any signature is read: the ratio of the
-sizes, the places of the shared chunk in both orders, and the distance of folded signatures (the parity
-of the set bits in each of 1,024 places), which never exceeds the true distance. What is left is checked
-exactly.
+Candidates travel with a folded signature, the parity of the set bits in each of 512 places, and the join
+itself drops pairs whose folded distance is too large: a true distance of at most D folds to a distance of
+at most D, and to more than mean + 6.5 deviations of its law with a probability below 1e-10. What is left
+is checked exactly.
 
 Why not chunks of a dense sign or minwise signature: at a similarity of 0.6 a fifth of its bits differ
 (128 bits: 26 of 128 where unrelated records differ in 64), so the pigeonhole needs chunks of 4 bits or
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from corvane.session import cut_lineage, spread
 
 _GAP = re.compile(r"[ \t\n]+")
-_FOLD_WORDS = 16  # 64-bit words of a folded signature
+_FOLD_WORDS = 8  # 64-bit words of a folded signature
 _COUNTERS = 1 << 20
 _MASK = np.uint64((1 << 61) - 1)
 
@@ -83,7 +83,7 @@ def _folded(bits: np.ndarray) -> np.ndarray:
 
 
 def signature_table(records: DataFrame, width: int, key: str = "ref", paragraphs: str = "paragraphs") -> DataFrame:
-    """(ref, class_id, n, bits): the signature of each record; class_id is a hash of the whole signature."""
+    """(ref, hash, n, bits): the signature of each record and a hash of the whole signature."""
     r = records.select(F.col(key).alias("ref"), F.col(paragraphs).alias("ps")).where("ref IS NOT NULL AND ps IS NOT NULL")
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,7 +92,7 @@ def signature_table(records: DataFrame, width: int, key: str = "ref", paragraphs
             yield pd.DataFrame({"ref": b["ref"].values, "n": [len(x) for x in bits], "bits": bits}).query("n > 0")
 
     s = spread(r).mapInPandas(sign, "ref string, n int, bits array<bigint>")
-    return s.select("ref", F.substring(F.sha2(F.to_json("bits").cast("binary"), 256), 1, 32).alias("class_id"), "n", "bits")
+    return s.select("ref", F.substring(F.sha2(F.to_json("bits").cast("binary"), 256), 1, 32).alias("hash"), "n", "bits")
 
 
 def bit_frequencies(classes: DataFrame) -> np.ndarray:
@@ -113,49 +113,43 @@ def bit_frequencies(classes: DataFrame) -> np.ndarray:
 
 
 def hamming_join(classes: DataFrame, threshold: float) -> DataFrame:
-    """(class_a, class_b, similarity), class_a < class_b: all pairs of (class_id, n, bits) at the threshold or above."""
+    """(class_a, class_b, similarity), class_a < class_b: all pairs of (class_id bigint, n, bits) at the threshold or above."""
     spark = classes.sparkSession
     freq = spark.sparkContext.broadcast(bit_frequencies(classes))
+    folds = [f"s{k}" for k in range(_FOLD_WORDS)]
 
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = freq.value
-        for b in batches:
-            ids, ns, ranks, keys, folds = [], [], [], [], []
-            for c, bits in zip(b["class_id"].values, b["bits"].values):
-                bits = np.asarray(bits)
-                n = len(bits)
-                allowed = n - int(np.ceil(threshold * n - 1e-9))
-                rare = bits[np.lexsort((bits, f[bits % _COUNTERS]))[: allowed + 1]]
-                ids.append(np.full(len(rare), c, dtype=object))
-                ns.append(np.full(len(rare), n, dtype=np.int32))
-                ranks.append(np.arange(len(rare), dtype=np.int32))
-                keys.append(rare)
-            if ids:
-                yield pd.DataFrame({"class_id": np.concatenate(ids), "n": np.concatenate(ns), "rank": np.concatenate(ranks), "chunk": np.concatenate(keys)})
-
-    c = classes.select("class_id", "bits").mapInPandas(chunks, "class_id string, n int, rank int, chunk bigint")
-    a = c.select("chunk", F.col("class_id").alias("class_a"), F.col("n").alias("na"), F.col("rank").alias("ra"))
-    b = c.select("chunk", F.col("class_id").alias("class_b"), F.col("n").alias("nb"), F.col("rank").alias("rb"))
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9)
-    most = F.lit(1) + F.least(F.col("na") - F.col("ra") - 1, F.col("nb") - F.col("rb") - 1) + F.least("ra", "rb")
+        for batch in batches:
+            for start in range(0, len(batch), 1000):
+                b = batch.iloc[start : start + 1000]
+                all_bits = [np.asarray(x) for x in b["bits"].values]
+                rare = []
+                for bits in all_bits:
+                    allowed = len(bits) - int(np.ceil(threshold * len(bits) - 1e-9))
+                    rare.append(bits[np.lexsort((bits, f[bits % _COUNTERS]))[: allowed + 1]])
+                times = [len(r) for r in rare]
+                out = {"chunk": np.concatenate(rare), "id": np.repeat(b["class_id"].values, times), "n": np.repeat(b["n"].values, times)}
+                fold = np.repeat(np.stack([_folded(x) for x in all_bits]), times, axis=0)
+                yield pd.DataFrame(out | {name: fold[:, k] for k, name in enumerate(folds)})
+
+    schema = "chunk bigint, id bigint, n int, " + ", ".join(f"{x} bigint" for x in folds)
+    c = classes.select("class_id", "n", "bits").mapInPandas(chunks, schema)
+    a, b = c.alias("a"), c.alias("b")
+    na, nb = F.col("a.n"), F.col("b.n")
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (na + nb) - 1e-9)
+    most = (na + nb - 2 * need).cast("double")  # true distance of a pair at the threshold
+    places = 64.0 * _FOLD_WORDS
+    mean = F.lit(places / 2) * (1 - F.exp(most * (-2 / places)))
+    deviation = F.sqrt(F.lit(places / 4) * (1 - F.exp(most * (-4 / places))))
+    limit = F.least(most, mean + 6.5 * deviation)
+    distance = sum((F.bit_count(F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}"))) for x in folds), F.lit(0))
     pairs = (
-        a.join(b, "chunk")
-        .where(F.col("class_a") < F.col("class_b"))
-        .where((F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold))
-        .where(most >= need)
-        .select("class_a", "class_b")
+        a.join(b, (F.col("a.chunk") == F.col("b.chunk")) & (F.col("a.id") < F.col("b.id")))
+        .where((na >= nb * threshold) & (nb >= na * threshold) & (distance <= limit))
+        .select(F.col("a.id").alias("class_a"), F.col("b.id").alias("class_b"))
         .distinct()
     )
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            yield pd.DataFrame({"class_id": x["class_id"], "n": x["n"], "folded": [_folded(np.asarray(v)) for v in x["bits"].values]})
-
-    folded = classes.select("class_id", "n", "bits").mapInPandas(fold, "class_id string, n int, folded array<bigint>")
-    pairs = pairs.join(folded.select(F.col("class_id").alias("class_a"), F.col("n").alias("na"), F.col("folded").alias("fa")), "class_a")
-    pairs = pairs.join(folded.select(F.col("class_id").alias("class_b"), F.col("n").alias("nb"), F.col("folded").alias("fb")), "class_b")
-    distance = sum((F.bit_count(F.col("fa")[k].bitwiseXOR(F.col("fb")[k])) for k in range(_FOLD_WORDS)), F.lit(0))
-    pairs = pairs.where(distance <= F.col("na") + F.col("nb") - 2 * need).select("class_a", "class_b")
     bits = classes.select("class_id", "n", "bits")
     pairs = pairs.join(bits.select(F.col("class_id").alias("class_a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "class_a")
     pairs = pairs.join(bits.select(F.col("class_id").alias("class_b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "class_b")
@@ -165,9 +159,12 @@ def hamming_join(classes: DataFrame, threshold: float) -> DataFrame:
 
 
 def _classes(records: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """(ref, class_id) and (class_id, n, bits); class ids are numbers given once and written down."""
     s = cut_lineage(signature_table(records, width))
-    members = s.select("ref", "class_id").distinct()
-    return members, cut_lineage(s.groupBy("class_id").agg(F.first("n").alias("n"), F.first("bits").alias("bits")))
+    classes = s.groupBy("hash").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    classes = cut_lineage(classes.select(F.monotonically_increasing_id().alias("class_id"), "hash", "n", "bits"))
+    members = s.select("ref", "hash").distinct().join(classes.select("hash", "class_id"), "hash")
+    return members.select("ref", "class_id"), classes.drop("hash")
 
 
 def near_duplicate_pairs(records: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:

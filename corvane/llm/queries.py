@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.leakage import find_leaks
 from corvane.llm.lookalike import canonical_documents, same_looking_pairs
+from corvane.llm.mojibake import garbled_slots, repaired_slots
 from corvane.llm.neardup import near_duplicate_classes, near_duplicate_pairs
 from corvane.llm.neighbours import neighbour_pairs, neighbour_sample
 from corvane.llm.packing import pack_documents
@@ -72,6 +73,17 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_items(_oversized(spark, d))
 
 
+@query("p6_found")
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled_slots(table(spark, d, "records"), table(spark, d, "units"))
+
+
+@query("p6_repaired")
+def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Every affected title and paragraph with its text restored where it can be."""
+    return repaired_slots(table(spark, d, "records"), table(spark, d, "units"))
+
+
 @query("p8_containers")
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     """The container of each document (or piece of one) at the chunk size of project 3."""

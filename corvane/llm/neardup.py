@@ -7,7 +7,9 @@ of at least t and n set bits, at most e = n - ceil(t * n) of the bits may be mis
 By the pigeonhole principle, of any e + 1 disjoint chunks of the bits one arrives without error. Chunks
 are allotted by cost: every bit is a chunk of its own, the e + 1 rarest bits get the error allowance 0
 and are indexed, all others are skipped (allowance -1). Both sides use one global order of the bits, so
-a pair under the threshold shares an indexed chunk for certain. No pair is lost, at any size.
+a pair under the threshold shares an indexed chunk for certain. No pair is lost, at any size. The smaller
+of two records may miss only n - ceil(2t / (1 + t) * n) bits and is indexed by fewer chunks; the places of
+a shared chunk in both orders bound the overlap that can follow.
 
 Candidates travel with a folded signature, the parity of the set bits in each of 512 places, and the join
 itself drops pairs whose folded distance is too large: a true distance of at most D folds to a distance of
@@ -118,7 +120,7 @@ def hamming_join(classes: DataFrame, threshold: float) -> DataFrame:
     freq = spark.sparkContext.broadcast(bit_frequencies(classes))
     folds = [f"s{k}" for k in range(_FOLD_WORDS)]
 
-    def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def chunks(batches: Iterator[pd.DataFrame], share: float) -> Iterator[pd.DataFrame]:
         f = freq.value
         for batch in batches:
             for start in range(0, len(batch), 1000):
@@ -126,17 +128,21 @@ def hamming_join(classes: DataFrame, threshold: float) -> DataFrame:
                 all_bits = [np.asarray(x) for x in b["bits"].values]
                 rare = []
                 for bits in all_bits:
-                    allowed = len(bits) - int(np.ceil(threshold * len(bits) - 1e-9))
+                    allowed = len(bits) - int(np.ceil(share * len(bits) - 1e-9))
                     rare.append(bits[np.lexsort((bits, f[bits % _COUNTERS]))[: allowed + 1]])
                 times = [len(r) for r in rare]
                 out = {"chunk": np.concatenate(rare), "id": np.repeat(b["class_id"].values, times), "n": np.repeat(b["n"].values, times)}
+                out["rank"] = np.concatenate([np.arange(t, dtype=np.int32) for t in times])
                 fold = np.repeat(np.stack([_folded(x) for x in all_bits]), times, axis=0)
                 yield pd.DataFrame(out | {name: fold[:, k] for k, name in enumerate(folds)})
 
-    schema = "chunk bigint, id bigint, n int, " + ", ".join(f"{x} bigint" for x in folds)
-    c = classes.select("class_id", "n", "bits").mapInPandas(chunks, schema)
-    a, b = c.alias("a"), c.alias("b")
+    schema = "chunk bigint, id bigint, n int, rank int, " + ", ".join(f"{x} bigint" for x in folds)
+    # the smaller of the two may miss fewer bits than the larger, and needs fewer chunks
+    rows = classes.select("class_id", "n", "bits")
+    a = rows.mapInPandas(lambda x: chunks(x, 2 * threshold / (1 + threshold)), schema).alias("a")
+    b = rows.mapInPandas(lambda x: chunks(x, threshold), schema).alias("b")
     na, nb = F.col("a.n"), F.col("b.n")
+    smaller = (na < nb) | ((na == nb) & (F.col("a.id") < F.col("b.id")))
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (na + nb) - 1e-9)
     most = (na + nb - 2 * need).cast("double")  # true distance of a pair at the threshold
     places = 64.0 * _FOLD_WORDS
@@ -145,9 +151,9 @@ def hamming_join(classes: DataFrame, threshold: float) -> DataFrame:
     limit = F.least(most, mean + 6.5 * deviation)
     distance = sum((F.bit_count(F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}"))) for x in folds), F.lit(0))
     pairs = (
-        a.join(b, (F.col("a.chunk") == F.col("b.chunk")) & (F.col("a.id") < F.col("b.id")))
-        .where((na >= nb * threshold) & (nb >= na * threshold) & (distance <= limit))
-        .select(F.col("a.id").alias("class_a"), F.col("b.id").alias("class_b"))
+        a.join(b, (F.col("a.chunk") == F.col("b.chunk")) & smaller & (na >= nb * threshold))
+        .where((F.col("a.rank") <= na - need) & (F.col("b.rank") <= nb - need) & (distance <= limit))
+        .select(F.least("a.id", "b.id").alias("class_a"), F.greatest("a.id", "b.id").alias("class_b"))
         .distinct()
     )
     bits = classes.select("class_id", "n", "bits")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corvane.llm.leakage import find_leaks
 from corvane.llm.lookalike import canonical_documents, same_looking_pairs
 from corvane.llm.mojibake import garbled_slots, repaired_slots
+from corvane.llm.names import attribute_names
 from corvane.llm.neardup import near_duplicate_classes, near_duplicate_pairs
 from corvane.llm.neighbours import neighbour_pairs, neighbour_sample
 from corvane.llm.packing import pack_documents
@@ -84,6 +85,12 @@ def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
     return repaired_slots(table(spark, d, "records"), table(spark, d, "units"))
 
 
+@query("p7_found")
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    a = attribute_names(table(spark, d, "name_mentions"), table(spark, d, "entity_notes"))
+    return a.select("mention_id", "entity_ref").distinct()
+
+
 @query("p8_containers")
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     """The container of each document (or piece of one) at the chunk size of project 3."""

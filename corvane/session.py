@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -26,6 +27,7 @@ def local_session(cores: int = 8, memory: str = "8g", app: str = "corvane") -> S
 
 
 _shipped: set[str] = set()
+_folders: dict[str, str] = {}
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -46,18 +48,36 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the reliable checkpoint folder and read it back.
+def _shared_folder(spark: SparkSession) -> str:
+    """A folder of this application's own below the one that the cluster names in spark.checkpoint.dir.
 
-    The folder is the one the cluster names in spark.checkpoint.dir, so that the data outlive the
-    loss of any executor. Only where that is unset (tests on one machine) a temporary one is made.
+    Only where that is unset (tests on one machine) a temporary one is made. It is removed at the end.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "corvane-checkpoints"))
-    return df.checkpoint(eager=True)
+    if context.applicationId not in _folders:
+        named = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.mkdtemp(prefix="corvane-")).as_uri()
+        folder = f"{named.rstrip('/')}/corvane-{uuid.uuid4().hex}"
+        _folders[context.applicationId] = folder
+
+        def remove() -> None:
+            try:
+                path = context._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+            except Exception:  # the session is over already
+                pass
+
+        atexit.register(remove)
+    return _folders[context.applicationId]
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write df as a table to the shared folder and read it back.
+
+    The data outlive the loss of any executor, and df is computed once (a checkpoint computes it twice).
+    """
+    path = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:

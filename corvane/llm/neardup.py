@@ -11,12 +11,12 @@ a pair under the threshold shares an indexed chunk for certain. No pair is lost,
 of two records may miss only n - ceil(2t / (1 + t) * n) bits and is indexed by fewer chunks; the places of
 a shared chunk in both orders bound the overlap that can follow.
 
-Candidates travel with a folded signature, the parity of the set bits in each of 512 places, and the join
-itself drops pairs whose folded distance is too large: a true distance of at most D folds to a distance of
-at most D, and to more than mean + 6.5 deviations of its law with a probability below 1e-10. What is left
-is checked exactly.
+Candidates travel with a second, dense signature of 384 bits, one bit of each of 384 minwise hashes, and the
+join itself drops pairs whose dense distance is too large: at similarity t a bit differs with probability
+(1 - t) / 2, whatever the size of the records, and the distance exceeds its mean by 6.5 deviations with a
+probability below 1e-10. What is left is checked exactly.
 
-Why not chunks of a dense sign or minwise signature: at a similarity of 0.6 a fifth of its bits differ
+Why the dense signature is not the one that is cut into chunks: at a similarity of 0.6 a fifth of its bits differ
 (128 bits: 26 of 128 where unrelated records differ in 64), so the pigeonhole needs chunks of 4 bits or
 hundreds of thousands of enumerated errors per chunk, and either way meets nearly every pair.
 
@@ -32,6 +32,7 @@ chains.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 from corvane.session import cut_lineage, spread
 
 _GAP = re.compile(r"[ \t\n]+")
-_FOLD_WORDS = 8  # 64-bit words of a folded signature
+_WORDS = 6  # 64-bit words of a dense signature
 _COUNTERS = 1 << 20
 _MASK = np.uint64((1 << 61) - 1)
 
@@ -77,11 +78,21 @@ def signatures(paragraph_lists, width: int) -> list[np.ndarray]:
     return out
 
 
-def _folded(bits: np.ndarray) -> np.ndarray:
-    """Parity of the set bits in each of the 64 * _FOLD_WORDS places."""
-    place = (bits % (64 * _FOLD_WORDS)).astype(np.int64)
-    odd = np.bincount(place, minlength=64 * _FOLD_WORDS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(">u8").astype(np.int64)
+_RANDOM = np.random.default_rng(20240229)
+_MULTIPLY = _RANDOM.integers(0, 1 << 32, 64 * _WORDS, dtype=np.uint32) | np.uint32(1)
+_ADD = _RANDOM.integers(0, 1 << 32, 64 * _WORDS, dtype=np.uint32)
+
+
+def _dense(bits: np.ndarray) -> np.ndarray:
+    """One bit of each of 64 * _WORDS minwise hashes of the set bits."""
+    h = _mix(bits.astype(np.uint64))
+    h = (h >> np.uint64(32)).astype(np.uint32)
+    least = np.full(64 * _WORDS, 0xFFFFFFFF, dtype=np.uint32)
+    for start in range(0, len(h), 512):
+        part = h[start : start + 512, None] * _MULTIPLY + _ADD
+        np.minimum(least, part.min(axis=0), out=least)
+    one = (least * np.uint32(0x9E3779B1)) >> np.uint32(31)
+    return np.packbits(one.astype(np.uint8)).view(">u8").astype(np.int64)
 
 
 def signature_table(records: DataFrame, width: int, key: str = "ref", paragraphs: str = "paragraphs") -> DataFrame:
@@ -118,7 +129,7 @@ def hamming_join(classes: DataFrame, threshold: float) -> DataFrame:
     """(class_a, class_b, similarity), class_a < class_b: all pairs of (class_id bigint, n, bits) at the threshold or above."""
     spark = classes.sparkSession
     freq = spark.sparkContext.broadcast(bit_frequencies(classes))
-    folds = [f"s{k}" for k in range(_FOLD_WORDS)]
+    names = [f"s{k}" for k in range(_WORDS)]
 
     def chunks(batches: Iterator[pd.DataFrame], share: float) -> Iterator[pd.DataFrame]:
         f = freq.value
@@ -133,10 +144,10 @@ def hamming_join(classes: DataFrame, threshold: float) -> DataFrame:
                 times = [len(r) for r in rare]
                 out = {"chunk": np.concatenate(rare), "id": np.repeat(b["class_id"].values, times), "n": np.repeat(b["n"].values, times)}
                 out["rank"] = np.concatenate([np.arange(t, dtype=np.int32) for t in times])
-                fold = np.repeat(np.stack([_folded(x) for x in all_bits]), times, axis=0)
-                yield pd.DataFrame(out | {name: fold[:, k] for k, name in enumerate(folds)})
+                dense = np.repeat(np.stack([_dense(x) for x in all_bits]), times, axis=0)
+                yield pd.DataFrame(out | {name: dense[:, k] for k, name in enumerate(names)})
 
-    schema = "chunk bigint, id bigint, n int, rank int, " + ", ".join(f"{x} bigint" for x in folds)
+    schema = "chunk bigint, id bigint, n int, rank int, " + ", ".join(f"{x} bigint" for x in names)
     # the smaller of the two may miss fewer bits than the larger, and needs fewer chunks
     rows = classes.select("class_id", "n", "bits")
     a = rows.mapInPandas(lambda x: chunks(x, 2 * threshold / (1 + threshold)), schema).alias("a")
@@ -144,12 +155,9 @@ def hamming_join(classes: DataFrame, threshold: float) -> DataFrame:
     na, nb = F.col("a.n"), F.col("b.n")
     smaller = (na < nb) | ((na == nb) & (F.col("a.id") < F.col("b.id")))
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (na + nb) - 1e-9)
-    most = (na + nb - 2 * need).cast("double")  # true distance of a pair at the threshold
-    places = 64.0 * _FOLD_WORDS
-    mean = F.lit(places / 2) * (1 - F.exp(most * (-2 / places)))
-    deviation = F.sqrt(F.lit(places / 4) * (1 - F.exp(most * (-4 / places))))
-    limit = F.least(most, mean + 6.5 * deviation)
-    distance = sum((F.bit_count(F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}"))) for x in folds), F.lit(0))
+    places, differ = 64 * _WORDS, (1 - threshold) / 2
+    limit = int(places * differ + 6.5 * math.sqrt(places * differ * (1 - differ)))
+    distance = sum((F.bit_count(F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}"))) for x in names), F.lit(0))
     pairs = (
         a.join(b, (F.col("a.chunk") == F.col("b.chunk")) & smaller & (na >= nb * threshold))
         .where((F.col("a.rank") <= na - need) & (F.col("b.rank") <= nb - need) & (distance <= limit))

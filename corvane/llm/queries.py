@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.leakage import find_leaks
 from corvane.llm.lookalike import canonical_documents, same_looking_pairs
+from corvane.llm.mail import new_lines, new_text
 from corvane.llm.mojibake import garbled_slots, repaired_slots
 from corvane.llm.names import attribute_names
 from corvane.llm.neardup import near_duplicate_classes, near_duplicate_pairs
@@ -59,6 +60,17 @@ def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return neighbour_sample(table(spark, d, "para_vectors"), k=5, every=20)
 
 
+@query("p4_found")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return new_lines(table(spark, d, "conversions"))
+
+
+@query("p4_texts")
+def p4_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every mail reduced to the text that its sender wrote."""
+    return new_text(table(spark, d, "conversions"))
+
+
 def _oversized(spark: SparkSession, d: str) -> DataFrame:
     return oversized(table(spark, d, "records"), table(spark, d, "units"), table(spark, d, "project_configs"))
 

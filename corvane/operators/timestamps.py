@@ -18,6 +18,8 @@ import zoneinfo
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.let import let
+
 # Month names by number, in English, German, French, Spanish, Portuguese and Italian.
 MONTHS = {
     1: "january jan januar jänner janvier enero janeiro gennaio",
@@ -91,15 +93,6 @@ def zone_offset(instant: Column, zone: Column) -> Column:
     return F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(instant), zone)) - instant
 
 
-def _let(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns that are computed once, however often later expressions name them.
-
-    inline() of one struct is a row generator: neither projections are merged nor filters pushed through
-    it, so that the cascade stays a line of small steps instead of one expression of exponential size.
-    """
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
 def local_to_utc(df: DataFrame, local: str, zone: str, out: str, policy: str = "reject") -> DataFrame:
     """Add column `out`: the UTC second of a local wall-clock reading (seconds since 1970 as if it were UTC).
 
@@ -110,9 +103,9 @@ def local_to_utc(df: DataFrame, local: str, zone: str, out: str, policy: str = "
     """
     wall, z = F.col(local), F.col(zone)
     a, b, ok_a, ok_b = (f"__lu_{n}" for n in ("a", "b", "ok_a", "ok_b"))
-    df = _let(df, **{a: wall - zone_offset(wall - 86400, z), b: wall - zone_offset(wall + 86400, z)})
+    df = let(df, **{a: wall - zone_offset(wall - 86400, z), b: wall - zone_offset(wall + 86400, z)})
     before, after = F.col(a), F.col(b)
-    df = _let(df, **{ok_a: before + zone_offset(before, z) == wall, ok_b: after + zone_offset(after, z) == wall})
+    df = let(df, **{ok_a: before + zone_offset(before, z) == wall, ok_b: after + zone_offset(after, z) == wall})
     first, second = F.col(ok_a), F.col(ok_b)
     if policy == "reject":
         value = F.when(first & (~second | (before == after)), before).when(second & ~first, after)
@@ -122,7 +115,7 @@ def local_to_utc(df: DataFrame, local: str, zone: str, out: str, policy: str = "
         value = F.when(second, after).when(first, before).otherwise(after)
     else:
         raise ValueError(f"unknown policy {policy!r}")
-    return _let(df, **{out: value}).drop(a, b, ok_a, ok_b)
+    return let(df, **{out: value}).drop(a, b, ok_a, ok_b)
 
 
 def known_zones(df: DataFrame, zone: str) -> DataFrame:
@@ -145,10 +138,10 @@ def normalise_timestamps(
     days = "mon|tue|tues|wed|thu|thur|thurs|fri|sat|sun|monday|tuesday|wednesday|thursday|friday|saturday|sunday"
     raw = F.regexp_replace(raw, rf"^(?:{days})[.,]*\s+", "")
     raw = F.regexp_replace(raw, r"\s*uhr$", "")
-    df = _let(df, **{p + "t": raw})
+    df = let(df, **{p + "t": raw})
     t = F.col(p + "t")
     hit = F.coalesce(*[F.when(t.rlike(f"^(?:{pat})$"), F.regexp_replace(t, f"^(?:{pat})$", rep)) for pat, rep in CASCADE])
-    df = _let(df, **{p + "f": F.when(~t.rlike(r"^\d{1,13}$"), F.split(hit, r"\|"))})
+    df = let(df, **{p + "f": F.when(~t.rlike(r"^\d{1,13}$"), F.split(hit, r"\|"))})
     part = [F.col(p + "f")[i] for i in range(9)]
     names = F.create_map(*[F.lit(x) for n, ws in MONTHS.items() for w in ws.split() for x in (w, n)])
     hours = F.create_map(*[F.lit(x) for n, h in ZONES.items() for x in (n, h * 3600)])
@@ -160,7 +153,7 @@ def normalise_timestamps(
     short = F.when(order == "ymd", F.length(part[1])).otherwise(F.length(part[3])) == 2
     month = F.when(order == "dmy", names[part[2]]).when(order == "ymd", b).when(one_reading, F.when(month_first, a).otherwise(b))
     day = F.when(order == "ymd", c).when(order == "dmy", a).when(one_reading, F.when(month_first, b).otherwise(a))
-    df = _let(
+    df = let(
         df,
         **{
             p + "y": F.when(short, F.when(year <= 68, year + 2000).otherwise(year + 1900)).otherwise(year),
@@ -185,16 +178,16 @@ def normalise_timestamps(
     om = F.coalesce(F.regexp_extract(zone, r"[+-](\d{1,2}?)(?::?(\d{2}))?$", 2).try_cast("int"), F.lit(0))
     numeric = zone.rlike(r"^(?:gmt|utc)?[+-]\d")
     offset = F.when(numeric & (oh <= 15) & (om <= 59), sign * (oh * 3600 + om * 60)).when(~numeric, hours[zone])
-    df = _let(df, **{p + "l": local, p + "o": offset})
+    df = let(df, **{p + "l": local, p + "o": offset})
     digits = F.when(t.rlike(r"^\d{9,13}$"), t.cast("long"))
     stamp = F.when(F.length(t) <= 10, digits).otherwise(F.floor(digits / 1000))
     local = F.col(p + "l")
     own = F.when(zone != "", local - F.col(p + "o"))
     if default_zone:
-        df = _let(df, **{p + "w": F.when(zone == "", local), p + "z": F.col(default_zone)})
+        df = let(df, **{p + "w": F.when(zone == "", local), p + "z": F.col(default_zone)})
         df = local_to_utc(df, p + "w", p + "z", p + "u", policy)
         own = F.coalesce(own, F.col(p + "u"))
-    df = _let(df, **{p + "out": F.coalesce(stamp, own).cast("bigint")})
+    df = let(df, **{p + "out": F.coalesce(stamp, own).cast("bigint")})
     keep = [c for c in df.columns if not c.startswith(p)]
     return df.select(*[F.col(f"`{c}`") for c in keep if c != out], F.col(p + "out").alias(out))
 

@@ -244,7 +244,7 @@ def nearest(
         _, a = tree.value
         held_rows, asked = frame[frame["held"]], frame[~frame["held"]]
         if not len(asked):
-            return pd.DataFrame({"id": [], "v": [], "cell": [], "d": [], "i": []})
+            return pd.DataFrame({n: pd.Series([], dtype=object) for n in ("id", "v", "cell", "d", "i")})
         q = _matrix(asked["v"].values)
         best_d = np.stack([np.full(k, 4.1, np.float32) if d is None else np.asarray(d, np.float32) for d in asked["d"].values])
         best_i = np.stack([np.full(k, -1, np.int64) if i is None else np.asarray(i, np.int64) for i in asked["i"].values])

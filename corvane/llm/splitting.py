@@ -5,7 +5,7 @@ words of the block before and of the block after are compared (cosine of hashed
 sums, so that the cost does not depend on the block size); valleys of this similarity mark changes of
 topic. A valley's depth is how far the similarity climbs on either side; an end of paragraph adds a
 bonus. Each piece ends at the deepest valley of its size window, the part of the text where it is
-between `fill` of the limit and the limit. Where the window holds no gap, the last blank in it is
+between `fill` of the limit (the overlap, if that is more) and the limit. Where the window holds no gap, the last blank in it is
 taken, and where it holds no blank, the last character that fits. The next piece starts so far back
 that it shares exactly `overlap` tokens with this one.
 
@@ -82,7 +82,7 @@ def pieces(text: str, limit: int, overlap: int, fill: float = 0.5) -> list[tuple
         if end >= len(text):
             out.append((start, len(text), new, "end"))
             return out
-        least = max(new + 1, int(np.searchsorted(size, size[start] + fill * most)))
+        least = max(new + 1, int(np.searchsorted(size, size[start] + max(fill * most, 4 * overlap))))
         a, b = np.searchsorted(gap, least), np.searchsorted(gap, end, side="right")
         if a < b:
             cut, kind = int(gap[a + int(np.argmax(worth[a:b]))]), "valley"

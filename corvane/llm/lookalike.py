@@ -14,12 +14,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from corvane.session import cut_lineage, spread
+
 # Letters of other scripts, each followed by the Latin letter that it resembles.
 RESEMBLE = (
     "аa еe оo рp сc уy хx іi јj ѕs һh ԁd ԛq ԝw ѵv ӏl ԍG ґr кk "
@@ -38,13 +41,33 @@ INVISIBLE = (
 BLANKS = "0009 00A0 1680 2000-200A 202F 205F 2800 3000"
 
 
-def _any_of(points: str) -> re.Pattern:
-    ranges = [[chr(int(x, 16)) for x in p.split("-")] for p in points.split()]
-    return re.compile("[" + "".join("-".join(r) for r in ranges) + "]")
+def _points(ranges: str) -> list[int]:
+    out = []
+    for r in ranges.split():
+        a, _, b = r.partition("-")
+        out += range(int(a, 16), int(b or a, 16) + 1)
+    return out
 
 
 _TABLE = {ord(p[0]): p[1] for p in RESEMBLE.split()}
-_INVISIBLE, _BLANKS = _any_of(INVISIBLE), _any_of(BLANKS)
+_FIRST = dict.fromkeys(_points(INVISIBLE)) | dict.fromkeys(_points(BLANKS), " ")
+
+
+@cache
+def _changing() -> re.Pattern:
+    """Characters that may not stay as they are: those with another form, and marks that join to others."""
+
+    def may(c: str) -> bool:
+        return unicodedata.category(c)[0] == "M" or "\u1160" <= c <= "\u11ff" or _full(c) != c
+
+    points = [k for k in (*range(0xD800), *range(0xE000, 0x10000)) if may(chr(k))]
+    ranges, start = [], points[0]
+    for a, b in zip(points, [*points[1:], -1]):
+        if b != a + 1:
+            ranges.append(f"{re.escape(chr(start))}-{re.escape(chr(a))}")
+            start = b
+    # any character beyond the basic plane counts: a class within it is one table look-up
+    return re.compile("[" + "".join(ranges) + "]|[^\\x00-\\uffff]")
 
 
 def canonical(text: str, fold: bool = False) -> str:
@@ -52,12 +75,16 @@ def canonical(text: str, fold: bool = False) -> str:
     if text.isascii():
         text = text.replace("\t", " ")
         return text.casefold() if fold else text
-    text = _BLANKS.sub(" ", _INVISIBLE.sub("", text))
-    text = unicodedata.normalize("NFKC", text)
-    text = unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_TABLE))
+    if _changing().search(text):
+        text = _full(text)
     return unicodedata.normalize("NFKC", text.casefold()) if fold else text
 
 
+def _full(text: str) -> str:
+    text = unicodedata.normalize("NFKC", text.translate(_FIRST))
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_TABLE))
+
+
 def _udf(fold: bool):
     @F.pandas_udf(StringType())
     def to_form(texts: pd.Series) -> pd.Series:
@@ -88,8 +115,9 @@ def same_looking_pairs(documents: DataFrame, doc_id: str = "doc_id", text: str =
     compared nor paired with each other.
     """
     print_of = lambda c: F.substring(F.sha2(c.cast("binary"), 256), 1, 32)
-    d = documents.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
-    d = d.select("id", print_of(canonical_text("t")).alias("form"), print_of(F.col("t")).alias("print")).distinct()
+    d = spread(documents.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("t")))
+    d = d.select("id", print_of(canonical_text("t")).alias("form"), print_of(F.col("t")).alias("print"))
+    d = cut_lineage(d.distinct())  # ids and fingerprints only; the forms are made once
     forms = d.select("form", "print").distinct()
     several = forms.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
     d = d.join(several, "form", "left_semi")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.session import cut_lineage
+from corvane.session import cut_lineage, spread
 
 # Short forms of given names, by the full name.
 NICKNAMES = """
@@ -50,7 +50,7 @@ NICKNAMES = """
     william bill will willy billy liam|winifred win|yvonne evie von|zoe zo
 """
 # Words before a name that are no part of it.
-TITLES = "mr mrs ms miss dr prof sir dame capt captain pilot cpt lt rev fr herr frau mme m mlle sr sra senor senora don dona gen harbourmaster master"
+TITLES = "mr mrs ms miss dr prof sir dame capt captain pilot cpt lt rev fr herr frau mme m mlle sr sra senor senora don dona harbourmaster master"
 # Endings of organisations, with their short forms.
 ENDINGS = {"company": "co", "corporation": "corp", "limited": "ltd", "brothers": "bros", "association": "assoc assn", "incorporated": "inc", "sons": "", "group": "", "partners": ""}
 
@@ -160,12 +160,12 @@ class Channel:
         g = plain(given)
         if len(first) == 1:
             return (1.5 + extra, 0.0) if plain(first) == g[0] else None
+        nick = plain(first)
+        if g in _NICK.get(nick, ()) and nick != g:
+            return 1.2 + extra, 0.0
         e = distance(first, given)
         if e <= _allowed(g) + 0.4:
             return extra, e
-        nick = plain(first)
-        if g in _NICK.get(nick, ()):
-            return 1.2 + extra, 0.0
         near = min((distance(nick, s) for s, full in _NICK.items() if g in full and len(s) > 3), default=9)
         return (1.4 + extra, near) if near <= 1 else None
 
@@ -236,8 +236,6 @@ class Channel:
             self._organisation(bare, out)
         title = False
         while len(words) > 1 and plain(words[0]) in _TITLES and not (words[0].isupper() and len(words[0]) == 1):
-            if plain(words[0]) in _NICK and len(words) == 2:  # "Gen" is a rank and a short form
-                self._person([words[0]], words[1], out)
             words, title = words[1:], True
         if not words:
             return []
@@ -288,7 +286,7 @@ def attribute_names(
                 rows = [(t, n, ref, c) for t, n in zip(x["name_text"], x["n"]) for ref, c in sent.value.likelihoods(t)]
                 yield pd.DataFrame(rows, columns=["name_text", "n", "entity_ref", "cost"])
 
-        part = spellings.mapInPandas(read, "name_text string, n bigint, entity_ref string, cost double")
+        part = spread(spellings).mapInPandas(read, "name_text string, n bigint, entity_ref string, cost double")
         found = part if found is None else found.unionByName(part)
     c = cut_lineage(found.where(F.col("cost") < nobody))
     of = Window.partitionBy("name_text")

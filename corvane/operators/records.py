@@ -9,24 +9,22 @@ from corvane.functions import dates, text
 
 
 def records_of(raw: DataFrame) -> DataFrame:
-    """One row per ref (the earliest delivery), with period, token estimate and paragraph count.
+    """One row per ref, with period, token estimate and paragraph count. Null dates count as unknown.
 
-    Rows delivered twice are equal but for ingested_at, so the earliest is picked by an aggregate (a
-    map-side combine), not by a sort. Null dates count as unknown.
+    Rows delivered twice are equal but for ingested_at; the earliest time is kept. What derives from a text is
+    computed before rows are brought together, and every column is an aggregate of its own, so that a query
+    reads and shuffles only the columns it uses, and no text for a filter or a total.
     """
-    names = [c for c in raw.columns if c != "ref"]
-    one = raw.where(F.col("ref").isNotNull()).groupBy("ref").agg(F.min_by(F.struct(*names), F.coalesce("ingested_at", F.lit("9999-12-31").cast("timestamp_ntz"))).alias("r"))
-    r = one.select("ref", "r.*")
-    return r.withColumns(
-        {
-            "unknown": dates.unknown(),
-            "iso": F.coalesce(F.when(~dates.unknown(), F.col("record_date.iso")), F.lit("")),
-            "period_start": dates.period_start(),
-            "period_end": dates.period_end(),
-            "tokens": text.token_estimate("paragraphs"),
-            "n_paragraphs": F.coalesce(F.size("paragraphs"), F.lit(0)),
-        }
-    )
+    derived = {
+        "unknown": dates.unknown(),
+        "iso": F.coalesce(F.when(~dates.unknown(), F.col("record_date.iso")), F.lit("")),
+        "period_start": dates.period_start(),
+        "period_end": dates.period_end(),
+        "tokens": text.token_estimate("paragraphs"),
+        "n_paragraphs": F.coalesce(F.size("paragraphs"), F.lit(0)),
+    }
+    r = raw.where(F.col("ref").isNotNull()).withColumns(derived)
+    return r.groupBy("ref").agg(*[(F.min if c == "ingested_at" else F.first)(c).alias(c) for c in r.columns if c != "ref"])
 
 
 def paragraphs_of(records: DataFrame) -> DataFrame:

@@ -190,7 +190,7 @@ def nearest(
     p: float = 0.995,
     cell_rows: int = 20_000,
     sample_rows: int = 50_000,
-    leaf: int = 192,
+    leaf: int = 768,
     slice_rows: int = 60_000,
     seed: int = 7,
 ) -> DataFrame:
@@ -214,7 +214,7 @@ def nearest(
                 yield pd.DataFrame({"id": b["id"], "v": list(x.astype(np.float32))})
 
     v = spread(v.where(F.size("v") == dim)).mapInPandas(unit, "id bigint, v array<float>")
-    v = v.select("id", F.sha2(F.to_json("v").cast("binary"), 256).alias("same"), "v")
+    v = v.select("id", F.struct(F.xxhash64("v").alias("a"), F.hash("v").alias("b"), F.element_at("v", 1).alias("c")).alias("same"), "v")
     v = cut_lineage(v)
     # equal vectors become one point, named by its smallest id; its up to k + 1 smallest members answer for all
     groups = v.groupBy("same").agg(F.min("id").alias("id"), F.first("v").alias("v"), F.count("*").alias("copies"))

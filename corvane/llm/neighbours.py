@@ -193,8 +193,12 @@ def nearest(
     leaf: int = 768,
     slice_rows: int = 60_000,
     seed: int = 7,
+    every: int = 1,
 ) -> DataFrame:
-    """(vec_id, neighbour_id, similarity): the k most similar other vectors of each; see the module."""
+    """(vec_id, neighbour_id, similarity): the k most similar other vectors of each; see the module.
+
+    every > 1 asks only for vectors whose id is divisible by it; all vectors are indexed and searched.
+    """
     spark = vectors.sparkSession
     limit = chi2_inv(p, m)
     v = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v")).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
@@ -269,7 +273,11 @@ def nearest(
         both = h.withColumn("held", F.lit(True)).select(names).unionByName(q.withColumn("held", F.lit(False)).select(names))
         return both.groupBy("cell", "slice", "block").applyInPandas(answer_cell, answer)
 
-    first = cut_lineage(ask(placed.withColumns({"d": none_d, "i": none_i})))
+    asked = placed
+    if every > 1:
+        wanted = points.join(v.where(F.col("id") % every == 0).select("same").distinct(), "same", "left_semi").select("id")
+        asked = placed.join(wanted, "id", "left_semi").select("id", "v", "cell")
+    first = cut_lineage(ask(asked.withColumns({"d": none_d, "i": none_i})))
     rows = first.select("id", F.explode(F.arrays_zip("d", "i")).alias("z")).select("id", F.col("z.i").alias("n"), F.col("z.d").alias("d"))
     if n_cells > 1:
 
@@ -290,7 +298,8 @@ def nearest(
     rows = rows.where("n >= 0").distinct()
     best = rows.groupBy("id").agg(F.slice(F.sort_array(F.collect_set(F.struct("d", "n"))), 1, k).alias("near"))
     near = best.select("id", F.explode("near").alias("x")).select("id", F.col("x.n").alias("n"), (1 - F.col("x.d").cast("double") / 2).alias("s"))
-    return _expand(v.select("id", "same"), points, near, k)
+    out = _expand(v.select("id", "same"), points, near, k)
+    return out.where(F.col("vec_id") % every == 0) if every > 1 else out
 
 
 def _expand(members: DataFrame, points: DataFrame, near: DataFrame, k: int) -> DataFrame:
@@ -323,5 +332,5 @@ def neighbour_pairs(vectors: DataFrame, k: int = 5, **how) -> DataFrame:
 
 def neighbour_sample(vectors: DataFrame, k: int = 5, every: int = 20, **how) -> DataFrame:
     """Neighbours of the stated query set, every row whose id is divisible by `every`, against all rows."""
-    return nearest(vectors, k, **how).where(F.col("vec_id") % every == 0)
+    return nearest(vectors, k, every=every, **how)
 

@@ -22,9 +22,11 @@ new; mails without thread id use their subject; mails without a readable date ha
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from email.utils import parsedate_to_datetime
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -46,14 +48,17 @@ CLOSING = (
 )
 DEVICE = r"^\s*(?:sent (?:from|via|with)|get \w+(?: \w+){0,3} (?:for|on) |envoyé de(?:puis)? |von unterwegs|gesendet (?:von|mit)|enviado (?:desde|do|a partir)|inviato da)"
 LEGAL = (
-    r"confiden|privileg|unauthori[sz]ed|disclosure|intended|named reader|reached you in error|vertraulich|empfänger|courriel|pièces jointes|"
-    r"e-mail|this (?:mail|message)|views are those|before printing|attachment|mailing list|to leave, write|unsubscribe|liabilit|late delivery|destroy every copy|"
-    r"confidencial|destinatari"
+    "confiden, privileg, unauthorised, unauthorized, disclosure, intended, named reader, reached you in error, vertraulich, empfänger, courriel, pièces jointes, "
+    "e-mail, this mail, this message, views are those, before printing, attachment, mailing list, to leave, write, unsubscribe, liabilit, late delivery, "
+    "destroy every copy, destinatari"
 )
+CONTACT_HINTS = "@ tel phone fax mobil + office sprech http www floor shed"
 CONTACT = r"[\w.+-]+@[\w-]+\.\w+|\btel\b|\bphone\b|\bfax\b|\bmobile?\b|\+\d[\d ]{5,}|\boffice hours\b|\bsprechzeiten\b|https?://|www\.|\b\d+(?:st|nd|rd|th) floor\b|\bshed \d+"
 RULE = r"^\s*(?:-- ?|—|–|[_*=~-]{3,})\s*$"
-_RX = {k: re.compile(v, re.IGNORECASE) for k, v in {"sep": SEPARATOR, "header": HEADER, "first": HEADER_FIRST, "say": SAYING, "close": CLOSING, "device": DEVICE, "legal": LEGAL, "contact": CONTACT}.items()}
+_RX = {k: re.compile(v, re.IGNORECASE) for k, v in {"sep": SEPARATOR, "header": HEADER, "first": HEADER_FIRST, "say": SAYING, "close": CLOSING, "device": DEVICE, "contact": CONTACT}.items()}
 _MARK, _RULE = re.compile(MARK), re.compile(RULE)
+_LEGAL, _HINTS = LEGAL.replace("to leave, write", "to leave; write").split(", "), CONTACT_HINTS.split()
+_LEGAL = [x.replace(";", ",") for x in _LEGAL]
 _WORD = re.compile(r"[^\W_]+")
 _RE = re.compile(r"^(?:\s*(?:re|aw|fw|fwd|wg|tr|rv)\s*:)+\s*", re.IGNORECASE)
 
@@ -69,6 +74,8 @@ _AT = {n: i for i, n in enumerate(FEATURES)}
 
 def _unmark(line: str) -> tuple[str, int]:
     depth = 0
+    if line[:1].isalnum() and ">" not in line[:4]:  # most lines: no mark
+        return line, 0
     while m := _MARK.match(line):
         line, depth = line[m.end() :], depth + 1
     return line, depth
@@ -127,12 +134,22 @@ def parse(paragraphs: list[str]) -> tuple[dict, list[dict]]:
     return head, blocks
 
 
+@lru_cache(maxsize=200_000)
+def _word_hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+
+
 def _shingles(text: str) -> np.ndarray:
-    words = [w.lower() for w in _WORD.findall(text)]
+    """Hashes of the text's runs of five words."""
+    words = _WORD.findall(text.lower())
     if len(words) < 5:
         return np.empty(0, dtype=np.int64)
-    h = pd.util.hash_array(np.array([" ".join(words[i : i + 5]) for i in range(len(words) - 4)], dtype=object), categorize=False)
-    return np.unique(h.astype(np.int64))
+    w = np.array([_word_hash(x) for x in words], dtype=np.uint64)
+    h = np.zeros(len(w) - 4, dtype=np.uint64)
+    for k in range(5):
+        h = (h ^ w[k : len(w) - 4 + k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return np.unique(h.view(np.int64))
 
 
 def describe(head: dict, blocks: list[dict]) -> np.ndarray:
@@ -143,13 +160,14 @@ def describe(head: dict, blocks: list[dict]) -> np.ndarray:
     for k, b in enumerate(blocks):
         text, (_, indent, alone) = b["text"], b["kind"]
         words = _WORD.findall(text)
-        hits = _RX["contact"].findall(text)
+        low = text.lower()
+        hits = _RX["contact"].findall(text) if any(h in low for h in _HINTS) else []
         initials = {n[0] for n in name}
         share = sum(w.lower() in name or (len(w) <= 3 and w.isupper() and w[0].lower() in initials) for w in words) / max(1, len(words))
         values = {
             "depth": b["depth"], "indent": indent, "lines": len(b["at"]), "words": len(words), "intro": alone == "intro", "header": alone == "header",
             "after_intro": k > 0 and blocks[k - 1]["kind"][2] == "intro", "contact": len(hits) / max(1, len(words) / 4), "name": share if len(words) < 12 else 0,
-            "closing": alone == "close", "rule": alone == "rule", "device": alone == "device", "legal": len({x.lower() for x in _RX["legal"].findall(text)}),
+            "closing": alone == "close", "rule": alone == "rule", "device": alone == "device", "legal": sum(x in low for x in _LEGAL),
             "from_end": len(blocks) - k, "sentence": len(words) >= 5 and not hits and bool(re.search(r"[.!?;:。…][\"”’')]*$", text.strip())),
             "one_line": len(b["at"]) == 1, "marked_others": marked - (b["depth"] > 0),
         }
@@ -200,7 +218,7 @@ def follow(x: np.ndarray) -> np.ndarray:
 class Trees:
     """Gradient-boosted regression trees for the logistic loss, on binned features."""
 
-    def __init__(self, rounds: int = 80, depth: int = 5, rate: float = 0.2, bins: int = 48, least: float = 2.0):
+    def __init__(self, rounds: int = 30, depth: int = 6, rate: float = 0.4, bins: int = 48, least: float = 2.0):
         self.rounds, self.depth, self.rate, self.bins, self.least = rounds, depth, rate, bins, least
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.start = 0.0
@@ -306,10 +324,11 @@ def _blocks(conversions: DataFrame) -> DataFrame:
 
 
 def _featured(blocks: DataFrame) -> DataFrame:
-    """Blocks with all features in x: ancestor overlap and frequencies are joined on."""
-    s = blocks.select("conv_id", "block", "thread", F.coalesce("time", F.lit(1 << 60)).alias("time"), F.explode("shingles").alias("s"))
-    first = s.groupBy("thread", "s").agg(F.min("time").alias("first"))
-    old = s.join(first, ["thread", "s"]).groupBy("conv_id", "block").agg(F.avg((F.col("first") < F.col("time")).cast("int")).alias("overlap"))
+    """(conv_id, blocks): each mail's blocks in order; ancestor overlap and frequencies are joined on to x."""
+    s = blocks.select("conv_id", "block", F.xxhash64("thread").alias("thread"), F.coalesce("time", F.lit(1 << 60)).alias("time"), F.explode("shingles").alias("s"))
+    s = s.select("conv_id", "block", "time", F.xxhash64("thread", "s").alias("s"))
+    first = s.groupBy("s").agg(F.min("time").alias("first"))
+    old = s.join(first, "s").groupBy("conv_id", "block").agg(F.avg((F.col("first") < F.col("time")).cast("int")).alias("overlap"))
     marked = blocks.select("conv_id", "block", (F.col("x")[0] > 0).alias("marked"))
     mails = old.join(marked, ["conv_id", "block"]).where("marked").groupBy("conv_id").agg(F.sum("overlap").alias("all"), F.count("*").alias("n"))
     by_sender = blocks.groupBy("hash", "sender").agg(F.count("*").alias("k"))
@@ -320,37 +339,34 @@ def _featured(blocks: DataFrame) -> DataFrame:
     others = F.when(F.col("n") - is_marked > 0, (F.col("all") - is_marked * own) / (F.col("n") - is_marked)).otherwise(0.0)
     more = [own, F.size("shingles"), F.coalesce(others, F.lit(0.0)), F.log2("k"), F.log2("kk"), F.col("senders")]
     b = b.select("conv_id", "block", "para_idx", "lines", F.concat("x", F.array(*[m.cast("float") for m in more])).alias("x"))
-    mail = b.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "para_idx", "lines", "x"))).alias("blocks"))
+    return b.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "para_idx", "lines", "x"))).alias("blocks"))
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in batches:
-            rows = []
-            for conv, blocks in f.itertuples(index=False):
-                x = np.stack([np.asarray(k["x"], dtype=np.float32) for k in blocks])
-                x = np.concatenate([x, follow(x)], axis=1)
-                rows += [(conv, k["block"], k["para_idx"], k["lines"], r) for k, r in zip(blocks, x)]
-            yield pd.DataFrame(rows, columns=["conv_id", "block", "para_idx", "lines", "x"])
 
-    return mail.mapInPandas(walk, "conv_id bigint, block int, para_idx int, lines array<int>, x array<float>")
+def _rows(blocks) -> np.ndarray:
+    """All features of one mail's blocks."""
+    x = np.array([np.asarray(k["x"], dtype=np.float32) for k in blocks])
+    return np.concatenate([x, follow(x)], axis=1)
 
 
 def new_lines(conversions: DataFrame, train_blocks: int = 20_000) -> DataFrame:
     """(conv_id, para_idx, line_idx): lines newly written by the mails' senders."""
     b = cut_lineage(_featured(_blocks(conversions)))
-    n = b.count()
+    n = b.agg(F.sum(F.size("blocks"))).first()[0] or 0
     share = min(1.0, train_blocks / max(1, n))
-    # whole mails, by a hash of their number; at most about train_blocks rows come to the driver
-    sample = b.where(F.pmod(F.xxhash64("conv_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("conv_id", "block", "x").limit(2 * train_blocks).toPandas()
-    sample = sample.sort_values(["conv_id", "block"])
-    x = np.stack(sample["x"].values) if len(sample) else np.zeros((0, len(FEATURES)), dtype=np.float32)
+    # whole mails, by a hash of their number; about train_blocks blocks come to the driver, never more than so many mails
+    sample = b.where(F.pmod(F.xxhash64("conv_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(train_blocks).toPandas().sort_values("conv_id")
+    x = np.concatenate([_rows(k) for k in sample["blocks"]])[: 2 * train_blocks] if len(sample) else np.zeros((0, len(FEATURES)), dtype=np.float32)
     y = _weak_label(x) if len(x) else np.zeros(0)
     model = conversions.sparkSession.sparkContext.broadcast(Trees().fit(x[y >= 0], y[y >= 0]) if len(x) else None)
 
     def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches:
             if len(f):
-                new = model.value.predict(np.stack(f["x"].values)) > 0.5
-                yield f.loc[new, ["conv_id", "para_idx", "lines"]]
+                new = model.value.predict(np.concatenate([_rows(k) for k in f["blocks"]])) > 0.5
+                conv = np.repeat(f["conv_id"].values, [len(k) for k in f["blocks"]])
+                own = [k for blocks in f["blocks"] for k in blocks]
+                kept = np.nonzero(new)[0]
+                yield pd.DataFrame({"conv_id": conv[kept], "para_idx": [own[k]["para_idx"] for k in kept], "lines": [own[k]["lines"] for k in kept]})
 
     kept = b.mapInPandas(classify, "conv_id bigint, para_idx int, lines array<int>")
     return kept.select("conv_id", "para_idx", F.explode("lines").alias("line_idx")).distinct()

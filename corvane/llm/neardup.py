@@ -32,6 +32,7 @@ chains.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -102,10 +103,10 @@ def signature_table(records: DataFrame, width: int, key: str = "ref", paragraphs
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             bits = signatures(b["ps"].values, width)
-            yield pd.DataFrame({"ref": b["ref"].values, "n": [len(x) for x in bits], "bits": bits}).query("n > 0")
+            name = [hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest() for x in bits]
+            yield pd.DataFrame({"ref": b["ref"].values, "hash": name, "n": [len(x) for x in bits], "bits": bits}).query("n > 0")
 
-    s = spread(r).mapInPandas(sign, "ref string, n int, bits array<bigint>")
-    return s.select("ref", F.substring(F.sha2(F.to_json("bits").cast("binary"), 256), 1, 32).alias("hash"), "n", "bits")
+    return spread(r).mapInPandas(sign, "ref string, hash string, n int, bits array<bigint>")
 
 
 def bit_frequencies(classes: DataFrame) -> np.ndarray:
@@ -114,8 +115,8 @@ def bit_frequencies(classes: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(_COUNTERS, dtype=np.int64)
         for b in batches:
-            for bits in b["bits"].values:
-                np.add.at(total, np.asarray(bits) % _COUNTERS, 1)
+            for start in range(0, len(b), 4000):
+                total += np.bincount(np.concatenate(b["bits"].values[start : start + 4000]) % _COUNTERS, minlength=_COUNTERS)
         at = np.nonzero(total)[0]
         yield pd.DataFrame({"counter": at.astype(np.int32), "n": total[at]})
 
@@ -125,11 +126,29 @@ def bit_frequencies(classes: DataFrame) -> np.ndarray:
     return out
 
 
+_NAMES = [f"s{k}" for k in range(_WORDS)]
+
+
+def with_dense(classes: DataFrame) -> DataFrame:
+    """The classes with their dense signatures in columns s0, s1, ..."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                d = np.stack([_dense(np.asarray(x)) for x in b["bits"].values])
+                yield b.assign(**{name: d[:, k] for k, name in enumerate(_NAMES)})
+
+    return classes.mapInPandas(add, ", ".join([f"{n} {t}" for n, t in classes.dtypes] + [f"{x} bigint" for x in _NAMES]))
+
+
 def hamming_join(classes: DataFrame, threshold: float) -> DataFrame:
-    """(class_a, class_b, similarity), class_a < class_b: all pairs of (class_id bigint, n, bits) at the threshold or above."""
+    """(class_a, class_b, similarity), class_a < class_b: all pairs at the threshold or above.
+
+    classes has class_id (bigint), n, bits and the dense signatures of with_dense().
+    """
     spark = classes.sparkSession
     freq = spark.sparkContext.broadcast(bit_frequencies(classes))
-    names = [f"s{k}" for k in range(_WORDS)]
+    names = _NAMES
 
     def chunks(batches: Iterator[pd.DataFrame], share: float) -> Iterator[pd.DataFrame]:
         f = freq.value
@@ -144,12 +163,11 @@ def hamming_join(classes: DataFrame, threshold: float) -> DataFrame:
                 times = [len(r) for r in rare]
                 out = {"chunk": np.concatenate(rare), "id": np.repeat(b["class_id"].values, times), "n": np.repeat(b["n"].values, times)}
                 out["rank"] = np.concatenate([np.arange(t, dtype=np.int32) for t in times])
-                dense = np.repeat(np.stack([_dense(x) for x in all_bits]), times, axis=0)
-                yield pd.DataFrame(out | {name: dense[:, k] for k, name in enumerate(names)})
+                yield pd.DataFrame(out | {name: np.repeat(b[name].values, times) for name in names})
 
     schema = "chunk bigint, id bigint, n int, rank int, " + ", ".join(f"{x} bigint" for x in names)
     # the smaller of the two may miss fewer bits than the larger, and needs fewer chunks
-    rows = classes.select("class_id", "n", "bits")
+    rows = classes.select("class_id", "n", "bits", *names)
     a = rows.mapInPandas(lambda x: chunks(x, 2 * threshold / (1 + threshold)), schema).alias("a")
     b = rows.mapInPandas(lambda x: chunks(x, threshold), schema).alias("b")
     na, nb = F.col("a.n"), F.col("b.n")
@@ -176,7 +194,7 @@ def _classes(records: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """(ref, class_id) and (class_id, n, bits); class ids are numbers given once and written down."""
     s = cut_lineage(signature_table(records, width))
     classes = s.groupBy("hash").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    classes = cut_lineage(classes.select(F.monotonically_increasing_id().alias("class_id"), "hash", "n", "bits"))
+    classes = cut_lineage(with_dense(classes.select(F.monotonically_increasing_id().alias("class_id"), "hash", "n", "bits")))
     members = s.select("ref", "hash").distinct().join(classes.select("hash", "class_id"), "hash")
     return members.select("ref", "class_id"), classes.drop("hash")
 

@@ -16,6 +16,7 @@ match nothing; repeated rows give one row; every item that a document holds is r
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -80,11 +81,9 @@ def _shard_matches(texts: list[str], items: _Items, n_words: int, near: float) -
     # each window's terms, rarest first; a window with a term that the shard lacks can't be here
     grid = items.starts[:, None] + np.arange(n_words)
     freq = count[items.flat[grid]]
-    if not near:
-        possible = freq.min(axis=1) > 0
-        grid, freq = grid[possible], freq[possible]
-    else:
-        freq = np.where(freq == 0, np.iinfo(np.int64).max, freq)
+    possible = freq.min(axis=1) > 0
+    passages = _near_passages(tokens, owner, place, order, begin, count, grid, freq, items, n_words, near) if near else []
+    grid, freq = grid[possible], freq[possible]
     anchors = np.unique(grid[np.arange(len(grid)), freq.argmin(axis=1)]) if len(grid) else []
     reach = np.arange(-(n_words - 1), n_words)
     out: dict[tuple, tuple] = {}
@@ -96,7 +95,7 @@ def _shard_matches(texts: list[str], items: _Items, n_words: int, near: float) -
         want = items.flat[a + reach]
         # the next rarest terms around the anchor first
         real = np.nonzero((want >= 0) & (reach != 0))[0]
-        if not near and len(real):
+        if len(real):
             second = real[np.argsort(count[want[real]], kind="stable")]
             half = max(1, len(real) // 2)
             hits = np.zeros(len(at), dtype=np.int32)
@@ -116,12 +115,60 @@ def _shard_matches(texts: list[str], items: _Items, n_words: int, near: float) -
                 n += 1
             key = (int(owner[p]), int(items.owner[q]), "exact", int(place[p]), int(items.place[q]))
             out[key] = (*key, n)
-        if near:
-            share = same.sum(axis=1)
-            for i in np.nonzero((share >= near * n_words) & (left + right - 1 < n_words))[0]:
-                key = (int(owner[at[i]]), int(items.owner[a]), "near", int(place[at[i]]), int(items.place[a]))
-                out[key] = (*key, int(share[i]))
-    return list(out.values())
+    return [*out.values(), *passages]
+
+
+def _near_passages(tokens, owner, place, order, begin, count, grid, freq, items: _Items, n_words: int, near: float) -> list[tuple]:
+    """The near rows of one shard; grid and freq hold the places and counts of each window's terms."""
+    need = min(n_words, max(1, math.ceil(near * n_words - 1e-9)))
+    spare = n_words - need
+    kept = (freq > 0).sum(axis=1) >= need  # terms that the shard lacks can't agree
+    grid, freq = grid[kept], freq[kept]
+    if not len(grid):
+        return []
+    rarest = np.argsort(freq, axis=1, kind="stable")[:, : spare + 1]
+    anchors = np.unique(np.take_along_axis(grid, rarest, axis=1))
+    hits = count[items.flat[anchors]]
+    reach = np.arange(-(n_words - 1), n_words)
+    whole = np.zeros(len(items.flat) + n_words, dtype=bool)
+    whole[items.starts] = True
+    ends = np.cumsum(hits)
+    size = len(items.flat) + len(tokens)
+    windows = []
+    lo = 0
+    while lo < len(anchors):  # anchors by blocks of bounded postings; one term's list is the least
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 100_000, "right")))
+        a = np.repeat(anchors[lo:hi], hits[lo:hi])
+        first = np.repeat(begin[items.flat[anchors[lo:hi]]], hits[lo:hi])
+        at = order[first + np.arange(len(a)) - np.repeat(ends[lo:hi] - hits[lo:hi] - (ends[lo - 1] if lo else 0), hits[lo:hi])]
+        lo = hi
+        want = items.flat[a[:, None] + reach]
+        same = (tokens[at[:, None] + reach] == want) & (want >= 0)
+        enough = same.sum(axis=1) >= need
+        a, at, same = a[enough], at[enough], same[enough]
+        sums = np.cumsum(np.pad(same, ((0, 0), (1, 0))), axis=1, dtype=np.int32)
+        good = (sums[:, n_words:] - sums[:, :-n_words] >= need) & whole[a[:, None] + reach[:n_words]]
+        row, col = np.nonzero(good)
+        # an alignment is the difference of both places, a window its first item place
+        windows.append((at[row] - a[row] + len(items.flat)) * size + a[row] + reach[col])
+    found = np.unique(np.concatenate(windows))
+    if not len(found):
+        return []
+    shift, start = found // size - len(items.flat), found % size
+    new = np.nonzero(np.diff(found, prepend=found[0] - 2 * size) > n_words)[0]
+    out = []
+    for x, y in zip(new, [*new[1:], len(found)]):
+        q = np.arange(start[x], start[y - 1] + n_words)
+        p = q + shift[x]
+        inside = (p >= 0) & (p < len(tokens))
+        q, p = q[inside], p[inside]
+        agree = np.nonzero((tokens[p] == items.flat[q]) & (tokens[p] >= 0))[0]
+        n = len(agree)
+        if agree[-1] - agree[0] + 1 == n >= n_words:
+            continue  # nothing but an exact run
+        p, q = p[agree[0]], q[agree[0]]
+        out.append((int(owner[p]), int(items.owner[q]), "near", int(place[p]), int(items.place[q]), n))
+    return out
 
 
 def find_leaks(
@@ -136,8 +183,10 @@ def find_leaks(
 ) -> DataFrame:
     """(doc_id, item_id, kind, doc_word, item_word, n_words): passages of items in documents.
 
-    kind "exact": a maximal run of at least n_words words in common. kind "near" (only if near > 0): at
-    least near * n_words of the words around a common rare word agree in place, though no run is as long.
+    kind "exact": a maximal run of at least n_words words in common. kind "near" (only if near > 0): a
+    maximal row of windows of n_words item words, overlapping or touching, in each of which at least
+    near * n_words words agree in place; from its first to its last word that agrees, with the number of
+    those that agree. Where it is nothing but an exact run it has no row of its own.
     The items are sent out in blocks of block_bytes of text; each block is one pass over the documents.
     """
     i = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("t")).where(F.col("t").isNotNull()).distinct()

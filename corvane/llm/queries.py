@@ -118,7 +118,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p9_passages")
 def p9_passages(spark: SparkSession, d: str) -> DataFrame:
-    """Every passage in common, and places where two thirds of the words around a rare one agree."""
+    """Every passage in common, and those in whose windows of 12 words at least 9 agree in place."""
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), n_words=12, near=0.67)
 
 

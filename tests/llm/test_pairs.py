@@ -133,6 +133,50 @@ def test_leaks_of_odd_texts(spark):
     assert leakage.find_leaks(d.limit(0), i).count() == 0 and leakage.find_leaks(d, i.limit(0)).count() == 0
 
 
+def brute_near(docs, items, n, need):
+    """All near rows: every alignment of every document and item, window by window."""
+    rows = set()
+    for (k, d), (i, t) in itertools.product(enumerate(docs), enumerate(items)):
+        for shift in range(-len(t) + 1, len(d)):
+            agree = [0 <= q + shift < len(d) and d[q + shift] == t[q] for q in range(len(t))]
+            starts = [q for q in range(len(t) - n + 1) if sum(agree[q : q + n]) >= need]
+            cuts = [x for x, q in enumerate(starts) if not x or q - starts[x - 1] > n] + [len(starts)]
+            for x, y in itertools.pairwise(cuts):
+                same = [q for q in range(starts[x], starts[y - 1] + n) if agree[q]]
+                if not same[-1] - same[0] + 1 == len(same) >= n:
+                    rows.add((k, i, same[0] + shift, same[0], len(same)))
+    return rows
+
+
+def test_near_leaks_are_all_found_whatever_shares_the_shard(spark):
+    rng = np.random.default_rng(3)
+    draw = lambda size: [f"w{x}" for x in (rng.pareto(0.7, size) * 5).astype(int) % 400]
+    items = [draw(30) for _ in range(12)]
+    docs = [draw(60) for _ in range(60)]
+    for k in range(40):  # passages with a few words changed, some at the edge of the text
+        a, size = int(rng.integers(0, 8)), int(rng.integers(11, 22))
+        cut = list(items[k % 12][a : a + size])
+        for x in rng.choice(size, int(rng.integers(0, 5)), replace=False):
+            cut[x] = f"w{rng.integers(0, 400)}"
+        docs[k] = [*docs[k][: int(rng.integers(0, 20))], *cut, *docs[k][40 : int(rng.integers(40, 60))]]
+    docs = [x for x in docs if len(x) >= 12]
+    want = brute_near(docs, items, 12, 9)
+    d = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(docs)], "doc_id bigint, text string")
+    i = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id bigint, text string")
+    assert len(want) > 20
+    for shard in (1, 7, 2000):
+        got = leakage.find_leaks(d, i, near=0.67, shard_docs=shard).where("kind = 'near'").drop("kind").collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_near_leak_whose_rarest_word_was_edited(spark):
+    item = [f"w{k}" for k in range(23)]
+    edited = " ".join([*item[:11], "changed", *item[12:]])
+    d = spark.createDataFrame([(1, edited), (2, "pad " * 12 + "w11"), *[(k, " ".join(item[:11] + item[12:])) for k in (3, 4)]], "doc_id bigint, text string").coalesce(1)
+    i = spark.createDataFrame([(5, " ".join(item))], "item_id bigint, text string")
+    assert [tuple(r) for r in leakage.find_leaks(d, i, near=0.67).where("doc_id = 1").collect()] == [(1, 5, "near", 0, 0, 22)]
+
+
 def test_lookalikes(spark):
     same = ["Lock keeper’s file", "Ｌｏｃｋ keeper’s file", "Lock keeper’s file", "Lo​ck keep­er’s file", "Lосk keeреr’s filе", "Lock keeper’s ﬁle", "𝗟𝗼𝗰𝗸 keeper’s file"]
     other = ["lock keeper’s file", "Lock keeper’s\nfile", "Löck keeper’s file", "Lock keeper's file", "Lock keeper’s  file"]

@@ -21,6 +21,7 @@ from corvane.functions import text as T
 from corvane.operators import plan, read, records, search
 
 HITS, BROWSE_HITS, ROWS = 100, 500, 500
+LISTS = ("hits", "months", "covered", "chunks")  # the lists of a reply; each is paged by an offset of its own
 
 
 @dataclass(frozen=True)
@@ -123,13 +124,19 @@ class Corpus:
         return self.spark.read.json(f"{self.folder}/{snapshot}/pointer").first()["revision"]
 
     def search(self, query: str = "", from_: str | None = None, to: str | None = None, who: str | None = None, kind: str | None = None, cursor: str | None = None, config: ProjectConfig = ProjectConfig()) -> Reply:
-        """Ranked hits of a query, or all records in browse order, with exact totals and a reading plan."""
-        start = 0
+        """Ranked hits of a query, or all records in browse order, with exact totals and a reading plan.
+
+        The reply continues while any of its lists has rows left; a plan keeps the chunk size of its first page.
+        """
+        at: dict[str, int | None] = dict.fromkeys(LISTS, 0)  # rows of each list shown before; None where it has ended
+        chunk_tokens = config.chunk_tokens
         if cursor is not None:
             if query or from_ or to or who or kind:
                 raise ValueError("a cursor stands alone")
             c = decode_cursor(cursor)
-            query, from_, to, who, kind, start = c["query"], c["from"], c["to"], c["who"], c["kind"], c["at"]
+            if not isinstance(c.get("at"), dict) or set(c["at"]) != set(LISTS):
+                raise ValueError("not a cursor")
+            query, from_, to, who, kind, at, chunk_tokens = c["query"], c["from"], c["to"], c["who"], c["kind"], c["at"], c["chunk_tokens"]
             snapshot = self.current()
             if c["rev"] != snapshot:
                 raise ValueError(f"the corpus changed since this cursor was made; search again: {query!r} {from_ or ''}..{to or ''}")
@@ -161,31 +168,35 @@ class Corpus:
             found = r.join(hits, "ref")
             head = search.header(r, hits).first().asDict()
             cov = plan.coverage(r, self.revision(snapshot), from_, to).orderBy("day_from", "ref")
-            todo = plan.chunk_plan(plan.plan_candidates(r.join(hits.select("ref"), "ref", "left_semi"), cov), config.chunk_tokens)
+            todo = plan.chunk_plan(plan.plan_candidates(r.join(hits.select("ref"), "ref", "left_semi"), cov), chunk_tokens)
             chunks = todo.groupBy("chunk").agg(F.countDistinct("ref").alias("records"), F.sum("tokens").alias("tokens")).orderBy("chunk")
             order = [F.desc("score"), "ref"] if phrases else list(records.BROWSE)
             cap = HITS if phrases else BROWSE_HITS
             citation = F.when(F.col("best_idx").isNull(), F.col("ref")).otherwise(F.concat_ws(" ", "ref", F.concat(F.lit("p"), F.col("best_idx") + 1)))
-            page = found.orderBy(*order).offset(start).limit(cap).select(citation.alias("citation"), dates.display_date().alias("date"), T.cap_at_word(F.coalesce("title", F.lit(""))).alias("title"), "matches")
-            lists = [[x.asDict() for x in f.limit(ROWS).collect()] if not start else [] for f in (records.by_month(found).orderBy("month"), cov, chunks)]
-            reply = Reply(head, [x.asDict() for x in page.collect()], *lists)
+            page = found.orderBy(*order).select(citation.alias("citation"), dates.display_date().alias("date"), T.cap_at_word(F.coalesce("title", F.lit(""))).alias("title"), "matches")
+            tables = {"hits": page, "months": records.by_month(found).orderBy("month"), "covered": cov, "chunks": chunks}
+            caps = {**dict.fromkeys(LISTS, ROWS), "hits": cap}
+            # one row beyond the cap tells whether a list goes on
+            rows = {k: [x.asDict() for x in f.offset(at[k]).limit(caps[k] + 1).collect()] if at[k] is not None else [] for k, f in tables.items()}
+            reply = Reply(head, **{k: rows[k][: caps[k]] for k in LISTS})
         finally:
             hits.unpersist()
-        scope = {"t": "search", "rev": snapshot, "query": query, "from": from_, "to": to, "who": who, "kind": kind}
+        scope = {"t": "search", "rev": snapshot, "query": query, "from": from_, "to": to, "who": who, "kind": kind, "chunk_tokens": chunk_tokens}
+        shown = {k: getattr(reply, k) for k in LISTS}
 
         def settle() -> None:
-            at = start + len(reply.hits)
-            reply.continuation = encode_cursor({**scope, "at": at}) if at < head["records"] else None
+            after = {k: at[k] + len(shown[k]) if len(shown[k]) < len(rows[k]) else None for k in LISTS}
+            reply.continuation = encode_cursor({**scope, "at": after}) if any(v is not None for v in after.values()) else None
 
         settle()
         while reply.tokens() > config.reply_tokens:
-            longest = max((reply.hits, reply.months, reply.covered, reply.chunks), key=len)
+            longest = max(shown.values(), key=len)
             if not longest:
                 break
             longest.pop()
             settle()
-        if reply.continuation and not reply.hits:
-            raise ValueError("not one hit fits into the reply budget; narrow the scope")
+        if reply.continuation and not any(shown.values()):
+            raise ValueError("not one row fits into the reply budget; narrow the scope")
         return reply
 
     def read(self, ref: str, page: int = 0, config: ProjectConfig = ProjectConfig()) -> tuple[str, int]:

@@ -195,6 +195,29 @@ def test_search_and_read_over_a_snapshot(spark, tmp_path):
         ProjectConfig.from_dict({"odd": 1})
 
 
+def test_every_list_of_a_search_is_paged_to_its_end(spark, tmp_path):
+    import datetime as dt
+
+    now = dt.datetime(2013, 1, 1)
+    rows = [(f"SRC-{k:06d}", "source", None, (f"{1900 + k // 12}-{k % 12 + 1:02d}-15", "exact", "day", ""), f"R{k}", ["gate " * 8], [], None, None, None, [], now) for k in range(520)]
+    rows += [(f"notes/digest/{k:03d}.md", "note", "digest", ("", "unknown", "day", ""), "D", ["# D"], [], ("1800-01-01", f"1800-01-{k % 28 + 1:02d}"), "7", True, [], now) for k in range(510)]
+    c = Corpus(spark, f"file://{tmp_path}/corpus")
+    c.commit(spark.createDataFrame(rows, RAW), revision="7")
+    config = ProjectConfig(chunk_tokens=10, reply_tokens=8000)
+    got, cursor = {k: [] for k in ("citation", "month", "ref", "chunk")}, None
+    for _ in range(40):
+        reply = c.search(cursor=cursor, config=config) if cursor else c.search("gate", from_="1800", to="2000", config=config)
+        assert reply.tokens() <= 8000
+        for key, part in zip(got, (reply.hits, reply.months, reply.covered, reply.chunks)):
+            got[key] += [x[key] for x in part]
+        cursor = reply.continuation
+        if not cursor:
+            break
+    assert cursor is None and len(set(got["citation"])) == len(got["citation"]) == 520
+    assert got["month"] == sorted({f"{1900 + k // 12}-{k % 12 + 1:02d}" for k in range(520)})
+    assert len(set(got["ref"])) == len(got["ref"]) == 510 and got["chunk"] == list(range(520))
+
+
 def test_records_and_plans_of_empty_tables(spark):
     r = records.records_of(raw(spark).limit(0))
     assert r.count() == 0 and records.by_month(r).count() == 0 and plan.plan_candidates(r, plan.coverage(r, "7", "2001", None)).count() == 0

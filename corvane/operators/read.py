@@ -26,7 +26,7 @@ def anchor_order(anchors: DataFrame) -> DataFrame:
 def read_range(anchors: DataFrame, unit: str, first: int, last: int | None) -> DataFrame:
     """Live anchors from one to another in document order (to the end where last is null).
 
-    A retired or unknown end, or an end before the start, gives no rows: see diagnose().
+    A retired or unknown end, or an end before the start, gives no rows; check_citations() tells them apart.
     """
     o = anchor_order(anchors.where(F.col("unit_id") == unit))
     a = o.where(F.col("p") == first).agg(F.max("pos").alias("a"))

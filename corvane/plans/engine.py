@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 
 from corvane.functions import dates, refs
 from corvane.functions import text as T
-from corvane.operators import plan, read, records, search
+from corvane.operators import ledger, plan, read, records, search
 
 HITS, BROWSE_HITS, ROWS = 100, 500, 500
+SOURCE = r"^SRC-\d{6,}$"  # records whose paragraphs are cited by number
+ANCHORS = "unit_id string, p int, idx int, text string, live string, added string, retired string"
 LISTS = ("hits", "months", "covered", "chunks")  # the lists of a reply; each is paged by an offset of its own
 
 
@@ -96,13 +98,14 @@ class Corpus:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     def commit(self, raw_records: DataFrame, vectors: DataFrame | None = None, revision: str = "0") -> str:
-        """Write a snapshot and point to it; returns its name."""
-        name = uuid.uuid4().hex
+        """Write a snapshot and point to it; returns its name. Paragraphs keep their numbers from the one before."""
+        name, before = uuid.uuid4().hex, self._latest()
         base = f"{self.folder}/{name}"
         r = records.records_of(raw_records)
         r.write.parquet(f"{base}/records")
         p = records.paragraphs_of(self.spark.read.parquet(f"{base}/records"))
         p.repartition("ref").sortWithinPartitions("ref", "idx").write.parquet(f"{base}/paragraphs")
+        self._align(before, name).repartition("unit_id").sortWithinPartitions("unit_id", "p").write.parquet(f"{base}/anchors")
         if vectors is not None:
             vectors.write.parquet(f"{base}/vectors")
         self.spark.createDataFrame([(name, revision)], "name string, revision string").coalesce(1).write.json(f"{base}/pointer")
@@ -110,12 +113,48 @@ class Corpus:
         fs.create(target, False).close()  # the name of an empty file is the pointer; the newest one counts
         return name
 
-    def current(self) -> str:
+    def _latest(self) -> str | None:
         fs, at = self._files(self.folder)
-        named = [(s.getModificationTime(), s.getPath().getName()) for s in fs.listStatus(at) if s.getPath().getName().startswith("CURRENT-")]
-        if not named:
+        listed = fs.listStatus(at) if fs.exists(at) else []
+        named = [(s.getModificationTime(), s.getPath().getName()) for s in listed if s.getPath().getName().startswith("CURRENT-")]
+        return max(named)[1].removeprefix("CURRENT-") if named else None
+
+    def current(self) -> str:
+        name = self._latest()
+        if name is None:
             raise LookupError("no snapshot was committed")
-        return max(named)[1].removeprefix("CURRENT-")
+        return name
+
+    def anchors(self, snapshot: str | None = None) -> DataFrame:
+        """(unit_id, p, idx, text, added, retired): every number that a source record's paragraphs ever had.
+
+        A live one has its place in the snapshot, a retired one its text and the snapshot that retired it.
+        """
+        snapshot = snapshot or self.current()
+        try:
+            return self.table("anchors", snapshot)
+        except Exception as e:  # written before anchors were: paragraphs were cited by position
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+        p = self.table("paragraphs", snapshot).where(F.col("ref").rlike(SOURCE))
+        return p.select(F.col("ref").alias("unit_id"), (F.col("idx") + 1).alias("p"), "idx", F.lit(None).cast("string").alias("text"), F.lit(snapshot).alias("added"), F.lit(None).cast("string").alias("retired"))
+
+    def _align(self, before: str | None, name: str) -> DataFrame:
+        """The anchors of a new snapshot, whose paragraphs are written, from those of the one before."""
+        new = self.table("paragraphs", name).where(F.col("ref").rlike(SOURCE)).withColumnRenamed("ref", "unit_id")
+        if before is None:
+            old = self.spark.createDataFrame([], ANCHORS)
+        else:
+            was = self.table("paragraphs", before).select(F.col("ref").alias("unit_id"), "idx", F.col("text").alias("live"))
+            old = self.anchors(before).join(was, ["unit_id", "idx"], "left").select("unit_id", "p", "idx", "text", "live", "added", "retired")
+        # retired numbers go along without a text: they match nothing and stay taken
+        j = ledger.align(old.select("unit_id", "p", F.col("live").alias("text"), F.col("idx").alias("pos")), new)
+        j = j.join(old.drop("idx"), ["unit_id", "p"], "left")
+        gone = F.col("change") == "retired"
+        return j.select(
+            "unit_id", F.col("p").cast("int").alias("p"), "idx", F.when(gone, F.coalesce("text", "live")).alias("text"),
+            F.coalesce("added", F.lit(name)).alias("added"), F.when(gone, F.coalesce("retired", F.lit(name))).alias("retired"),
+        )
 
     def table(self, name: str, snapshot: str | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{snapshot or self.current()}/{name}")
@@ -172,8 +211,9 @@ class Corpus:
             chunks = todo.groupBy("chunk").agg(F.countDistinct("ref").alias("records"), F.sum("tokens").alias("tokens")).orderBy("chunk")
             order = [F.desc("score"), "ref"] if phrases else list(records.BROWSE)
             cap = HITS if phrases else BROWSE_HITS
-            citation = F.when(F.col("best_idx").isNull(), F.col("ref")).otherwise(F.concat_ws(" ", "ref", F.concat(F.lit("p"), F.col("best_idx") + 1)))
-            page = found.orderBy(*order).select(citation.alias("citation"), dates.display_date().alias("date"), T.cap_at_word(F.coalesce("title", F.lit(""))).alias("title"), "matches")
+            citation = F.when(F.col("p").isNull(), F.col("ref")).otherwise(F.concat_ws(" ", "ref", F.concat(F.lit("p"), "p")))
+            numbers = self.anchors(snapshot).where("retired IS NULL").select(F.col("unit_id").alias("ref"), F.col("idx").alias("best_idx"), "p")
+            page = found.join(numbers, ["ref", "best_idx"], "left").orderBy(*order).select(citation.alias("citation"), dates.display_date().alias("date"), T.cap_at_word(F.coalesce("title", F.lit(""))).alias("title"), "matches")
             tables = {"hits": page, "months": records.by_month(found).orderBy("month"), "covered": cov, "chunks": chunks}
             caps = {**dict.fromkeys(LISTS, ROWS), "hits": cap}
             # one row beyond the cap tells whether a list goes on
@@ -200,18 +240,38 @@ class Corpus:
         return reply
 
     def read(self, ref: str, page: int = 0, config: ProjectConfig = ProjectConfig()) -> tuple[str, int]:
-        """(text of the page, number of pages) of a record or file; ranges of paragraphs of a record by position."""
+        """(text of the page, number of pages) of a record or file, or of paragraphs of a record by their numbers.
+
+        A range goes from one live number to another in document order. A retired number gives the text that it
+        named, between a line that says so and one that names the record to read instead.
+        """
         r = refs.parse(ref)
-        p = self.table("paragraphs").where(F.col("ref") == (r.id or r.render()))
+        snapshot = self.current()
+        p = self.table("paragraphs", snapshot).where(F.col("ref") == (r.id or r.render()))
+        number: dict[int, int] = {}
+        if r.id:
+            known = self.anchors(snapshot).where(F.col("unit_id") == r.id)
+            own = {x["p"]: x for x in known.drop("text").collect()}  # one record
+            number = {x["idx"]: n for n, x in own.items() if x["retired"] is None}
         if r.shape in ("anchor", "range", "tail"):
-            last = {"anchor": r.anchor, "range": r.end, "tail": 1 << 30}[r.shape]
-            if last < r.anchor:
+            for n in (r.anchor, r.end):
+                if n is not None and n not in own:
+                    raise LookupError(f"nothing to read at {ref}: {r.id} never had p{n}")
+            if r.shape == "anchor" and own[r.anchor]["retired"]:
+                text = known.where(F.col("p") == r.anchor).first()["text"]
+                text = f"{r.render()} - retired by snapshot {own[r.anchor]['retired']}; the text it cited:\n{text}\nThe record's current text is {r.id}."
+                pages = read.paginate([(r.render(), text)], config.reply_tokens * 4 - 1000)
+                return "".join(t + s for _, t, s in pages[page]), len(pages)
+            for n in (r.anchor, r.end):
+                if n is not None and own[n]["retired"]:
+                    raise LookupError(f"{ref}: p{n} is retired; read {r.id} p{n} for the text it named")
+            first = own[r.anchor]["idx"]
+            last = {"anchor": first, "range": own[r.end]["idx"] if r.end is not None else None, "tail": max(number)}[r.shape]
+            if last < first:
                 raise ValueError(f"the range is reversed: {ref}")
-            p = p.where(F.col("idx").between(r.anchor - 1, last - 1))
-        units = [(f"{x['ref']} p{x['idx'] + 1}", x["text"]) for x in p.orderBy("idx").collect()]  # one record
+            p = p.where(F.col("idx").between(first, last))
+        units = [(f"{x['ref']} p{number[x['idx']]}" if x["idx"] in number else x["ref"], x["text"]) for x in p.orderBy("idx").collect()]  # one record
         if not units:
             raise LookupError(f"nothing to read at {ref}")
         pages = read.paginate(units, config.reply_tokens * 4 - 1000)
         return "".join(t + s for _, t, s in pages[page]), len(pages)
-
-

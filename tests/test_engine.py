@@ -195,6 +195,34 @@ def test_search_and_read_over_a_snapshot(spark, tmp_path):
         ProjectConfig.from_dict({"odd": 1})
 
 
+def test_citations_keep_naming_their_text_across_versions(spark, tmp_path):
+    c = Corpus(spark, f"file://{tmp_path}/corpus")
+    note = ("notes/person/ada.md", "note", "person", ("", "unknown", "day", ""), "Ada", ["# Ada", "gate"], [], None, None, None, [], None)
+
+    def commit(*paragraphs):
+        row = ("SRC-000001", "source", None, ("2001-01-01", "exact", "day", ""), "R", list(paragraphs), [], None, None, None, [], None)
+        c.commit(spark.createDataFrame([row, note] if paragraphs else [note], RAW))
+
+    commit("one", "two gate", "three", "last")
+    assert {h["citation"] for h in c.search("gate").hits} == {"SRC-000001 p2", "notes/person/ada.md"}
+    commit("new", "two gate", "three", "one")
+    assert c.read("SRC-000001 p2")[0] == "two gate" and c.read("SRC-000001 p1")[0] == "one" and c.read("SRC-000001 p5")[0] == "new"
+    assert c.search("gate", kind="source").hits[0]["citation"] == "SRC-000001 p2"
+    assert c.read("SRC-000001 p5-3")[0] == "new\n\ntwo gate\n\nthree" and c.read("SRC-000001 p3-")[0] == "three\n\none"
+    assert c.read("SRC-000001 p4")[0].split("\n")[1] == "last" and " retired " in c.read("SRC-000001 p4")[0]
+    for bad in ("SRC-000001 p2-4", "SRC-000001 p4-", "SRC-000001 p6"):
+        with pytest.raises(LookupError):
+            c.read(bad)
+    with pytest.raises(ValueError):
+        c.read("SRC-000001 p1-2")
+    commit()
+    with pytest.raises(LookupError):
+        c.read("SRC-000001")
+    commit("last", "one")
+    assert [c.read(f"SRC-000001 p{k}")[0].split("\n")[-2:][0] for k in (6, 7)] == ["last", "one"]
+    assert c.read("SRC-000001 p4")[0].split("\n")[1] == "last" and c.read("SRC-000001 p2")[0].split("\n")[1] == "two gate"
+
+
 def test_every_list_of_a_search_is_paged_to_its_end(spark, tmp_path):
     import datetime as dt
 

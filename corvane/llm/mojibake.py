@@ -169,12 +169,13 @@ def _character_model(types: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def decide(occurrences: DataFrame, rounds: int = 3, doubt: float = 0.02, backoff: float = 0.1) -> DataFrame:
-    """(word, chain, form, posterior): the words that went through a chain, by EM.
+    """(source, field, word, chain, form, posterior): the words that went through a chain, by EM.
 
     occurrences has source, field, word, n. doubt is the share of garbled words that the first round
     expects. Forms are drawn as in a Chinese restaurant: the first occurrence of a form costs what the
     character model says (times backoff), each further one its count so far over the total, so that an
-    odd-looking word with a common form behind it is not saved by being repeated.
+    odd-looking word with a common form behind it is not saved by being repeated. The rounds that learn see
+    a word's occurrences as one; the last posterior is each source and field's own, from its share and count.
     """
     spark = occurrences.sparkSession
     types = cut_lineage(occurrences.groupBy("source", "field", "word").agg(F.sum("n").cast("double").alias("n")))
@@ -196,14 +197,15 @@ def decide(occurrences: DataFrame, rounds: int = 3, doubt: float = 0.02, backoff
             rows = []
             for w, k in zip(b["word"], b["k"]):
                 for chain, form in [("none", w), *candidates(w)]:
-                    fresh = math.log(backoff) + score(form) + rising(1, k) - math.log(k) - (k - 1) * math.log(total)
+                    base = math.log(backoff) + score(form)
                     if chain.startswith("utf-8"):  # each sequence would be valid by chance once in 16 times at most
-                        fresh += math.log(16) * sum(c > "\x7f" for c in form)
-                    rows.append((w, float(k), chain, form, fresh))
-            yield pd.DataFrame(rows, columns=["word", "k", "chain", "form", "fresh"])
+                        base += math.log(16) * sum(c > "\x7f" for c in form)
+                    fresh = base + rising(1, k) - math.log(k) - (k - 1) * math.log(total)
+                    rows.append((w, float(k), chain, form, base, fresh))
+            yield pd.DataFrame(rows, columns=["word", "k", "chain", "form", "base", "fresh"])
 
     # fresh: log-probability of all k occurrences where nothing else has the form
-    x = spread(words).mapInPandas(expand, "word string, k double, chain string, form string, fresh double")
+    x = spread(words).mapInPandas(expand, "word string, k double, chain string, form string, base double, fresh double")
     x = x.withColumn("several", F.count("*").over(Window.partitionBy("word")) > 1).where("several").drop("several")
     x = cut_lineage(x)
     open_words = x.select("word").distinct()
@@ -214,16 +216,15 @@ def decide(occurrences: DataFrame, rounds: int = 3, doubt: float = 0.02, backoff
     start = F.when(F.col("chain") == "none", F.log(F.lit(1 - doubt))).otherwise(math.log(doubt / len(CHAINS)))
     prior = x.select("word", "chain", (F.col("k") * start).alias("prior"))
     posterior = x.withColumn("post", F.when(F.col("chain") == "none", 1.0).otherwise(0.0))
-    for step in range(rounds):
+    shares = None
+    for _ in range(rounds - 1):
         y = posterior.drop("prior").join(counts, "form", "left").join(prior, ["word", "chain"])
         m = F.coalesce("c", F.lit(0.0)) - F.col("k") * F.col("post")  # what other words give the form
         joined = log_rising(m, F.col("k")) - F.col("k") * math.log(total)
         y = y.withColumn("l", F.col("prior") + F.when(m > 0.5, F.greatest(joined, F.col("fresh"))).otherwise(F.col("fresh")))
         of = Window.partitionBy("word")
         y = y.withColumn("e", F.exp(F.greatest(F.col("l") - F.max("l").over(of), F.lit(-600.0))))
-        posterior = cut_lineage(y.select("word", "k", "chain", "form", "fresh", (F.col("e") / F.sum("e").over(of)).alias("post")))
-        if step == rounds - 1:
-            break
+        posterior = cut_lineage(y.select("word", "k", "chain", "form", "base", "fresh", (F.col("e") / F.sum("e").over(of)).alias("post")))
         moved = posterior.select("form", (F.col("k") * F.col("post")).alias("c"))
         counts = moved.unionByName(clean).groupBy("form").agg(F.sum("c").alias("c"))
         g = groups.join(posterior.select("word", "chain", "post"), "word")
@@ -236,11 +237,20 @@ def decide(occurrences: DataFrame, rounds: int = 3, doubt: float = 0.02, backoff
         shares = shares.select("source", "field", "chain", F.log((part + own) / (F.col("t") + 50)).alias("share"))
         # shares has a row per source, field and chain
         prior = g.join(F.broadcast(shares), ["source", "field", "chain"]).groupBy("word", "chain").agg(F.sum(F.col("n") * F.col("share")).alias("prior"))
-    best = posterior.groupBy("word").agg(
+    # the last E-step: form counts of all records, but shares and numbers of occurrences of the own source and field
+    y = groups.join(posterior.select("word", "chain", "form", "base", "post"), "word").join(counts, "form", "left")
+    y = y.withColumn("share", start) if shares is None else y.join(F.broadcast(shares), ["source", "field", "chain"])
+    m = F.coalesce("c", F.lit(0.0)) - F.col("n") * F.col("post")
+    joined = log_rising(m, F.col("n")) - F.col("n") * math.log(total)
+    fresh = F.col("base") + log_rising(F.lit(1.0), F.col("n")) - F.log("n") - (F.col("n") - 1) * math.log(total)
+    y = y.withColumn("l", F.col("n") * F.col("share") + F.when(m > 0.5, F.greatest(joined, fresh)).otherwise(fresh))
+    of = Window.partitionBy("source", "field", "word")
+    y = y.withColumn("e", F.exp(F.greatest(F.col("l") - F.max("l").over(of), F.lit(-600.0)))).withColumn("post", F.col("e") / F.sum("e").over(of))
+    best = y.groupBy("source", "field", "word").agg(
         F.max_by(F.struct("chain", "form"), F.when(F.col("chain") != "none", F.col("post"))).alias("b"),
         F.sum(F.when(F.col("chain") != "none", F.col("post"))).alias("posterior"),
     )
-    return best.where("posterior > 0.5").select("word", "b.chain", "b.form", "posterior")
+    return best.where("posterior > 0.5").select("source", "field", "word", "b.chain", "b.form", "posterior")
 
 
 def log_rising(m: Column, k: Column) -> Column:
@@ -262,9 +272,9 @@ def _with_source(records: DataFrame, units: DataFrame) -> DataFrame:
 def garbled_slots(records: DataFrame, units: DataFrame) -> DataFrame:
     """(ref, slot): titles (-1) and paragraphs of source records that hold a garbled stretch."""
     o = _with_source(records, units)
-    bad = decide(o).select("word")
+    bad = decide(o).select("source", "field", "word")
     s = o.where("kind = 'source'")
-    hit = s.join(bad, "word", "left_semi").select("ref", "slot")
+    hit = s.join(bad, ["source", "field", "word"], "left_semi").select("ref", "slot")
     return hit.unionByName(s.where(F.col("word").contains(LOST)).select("ref", "slot")).distinct()
 
 
@@ -275,7 +285,7 @@ def repaired_slots(records: DataFrame, units: DataFrame) -> DataFrame:
     """
     every = _with_source(records, units)
     o, bad = every.where("kind = 'source'"), decide(every)
-    hits = o.join(bad.select("word", "chain"), "word", "left")
+    hits = o.join(bad.select("source", "field", "word", "chain"), ["source", "field", "word"], "left")
     hits = hits.where(F.col("chain").isNotNull() | F.col("word").contains(LOST))
     fix = hits.groupBy("ref").agg(F.collect_set(F.struct("slot", "word", "chain")).alias("fixes"))
     r = records.where("kind = 'source'").select("ref", "title", "paragraphs").dropDuplicates(["ref"]).join(fix, "ref")

@@ -191,3 +191,14 @@ def test_trees_learn_an_interaction():
 @pytest.mark.parametrize("name", [n for n in sorted(queries.QUERIES) if not n.endswith("_found")])
 def test_other_queries_run(spark, name):
     assert queries.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_garbled_in_one_source_and_clean_in_another(spark):
+    russian = "работа слово дело время человек жизнь вопрос сторона страна случай голова ребенок система часть смотритель проверил якорную шлюза погода корабль пристань"
+    russian += " капитан матрос журнал письмо берег волна ветер палуба дерево улица музыка история книга работник учитель студент"
+    garble = lambda w: w.encode("cp1251").decode("cp1252")
+    rows = [(1, "body", "à", 3000), (1, "body", "été", 500), (1, "body", "déjà", 400), (2, "body", "а", 20_000), (3, "body", garble("а"), 3)]
+    rows += [row for w in russian.split() for row in ((2, "body", w, 60), (3, "body", garble(w), 1))]
+    o = spark.createDataFrame(rows, "source int, field string, word string, n bigint")
+    got = {(r["source"], r["word"]): r["form"] for r in mojibake.decide(o).collect()}
+    assert {s for s, _ in got} == {3} and got[3, "à"] == "а"

@@ -97,11 +97,12 @@ def _shard_matches(texts: list[str], items: _Items, n_words: int, near: float) -
         real = np.nonzero((want >= 0) & (reach != 0))[0]
         if len(real):
             second = real[np.argsort(count[want[real]], kind="stable")]
-            half = max(1, len(real) // 2)
+            # a run has n_words - 1 of them; one more than can disagree is tested
+            tested = len(real) - (n_words - 1) + 1
             hits = np.zeros(len(at), dtype=np.int32)
-            for r in second[:half]:
+            for r in second[:tested]:
                 hits += tokens[at + reach[r]] == want[r]
-            at = at[hits > 0] if len(second) > n_words else at
+            at = at[hits > 0]
         same = (tokens[at[:, None] + reach] == want) & (want >= 0)
         mid = n_words - 1
         right = np.cumprod(same[:, mid:], axis=1).sum(axis=1)

@@ -169,6 +169,12 @@ def test_near_leaks_are_all_found_whatever_shares_the_shard(spark):
         assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def test_leak_of_just_n_words_beside_rarer_ones():
+    item = [f"w{k}" for k in range(31)]
+    index = leakage._Items([(5, " ".join(item))], 12)
+    assert leakage._shard_matches([" ".join(item[11:23])], index, 12, 0.0) == [(0, 5, "exact", 0, 11, 12)]
+
+
 def test_near_leak_whose_rarest_word_was_edited(spark):
     item = [f"w{k}" for k in range(23)]
     edited = " ".join([*item[:11], "changed", *item[12:]])

@@ -325,10 +325,10 @@ def _blocks(conversions: DataFrame) -> DataFrame:
 
 def _featured(blocks: DataFrame) -> DataFrame:
     """(conv_id, blocks): each mail's blocks in order; ancestor overlap and frequencies are joined on to x."""
-    s = blocks.select("conv_id", "block", F.xxhash64("thread").alias("thread"), F.coalesce("time", F.lit(1 << 60)).alias("time"), F.explode("shingles").alias("s"))
+    s = blocks.select("conv_id", "block", F.xxhash64("thread").alias("thread"), "time", F.explode("shingles").alias("s"))
     s = s.select("conv_id", "block", "time", F.xxhash64("thread", "s").alias("s"))
     first = s.groupBy("s").agg(F.min("time").alias("first"))
-    old = s.join(first, "s").groupBy("conv_id", "block").agg(F.avg((F.col("first") < F.col("time")).cast("int")).alias("overlap"))
+    old = s.join(first, "s").groupBy("conv_id", "block").agg(F.avg(F.coalesce(F.col("first") < F.col("time"), F.lit(False)).cast("int")).alias("overlap"))
     marked = blocks.select("conv_id", "block", (F.col("x")[0] > 0).alias("marked"))
     mails = old.join(marked, ["conv_id", "block"]).where("marked").groupBy("conv_id").agg(F.sum("overlap").alias("all"), F.count("*").alias("n"))
     by_sender = blocks.groupBy("hash", "sender").agg(F.count("*").alias("k"))

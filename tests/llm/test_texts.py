@@ -202,3 +202,9 @@ def test_garbled_in_one_source_and_clean_in_another(spark):
     o = spark.createDataFrame(rows, "source int, field string, word string, n bigint")
     got = {(r["source"], r["word"]): r["form"] for r in mojibake.decide(o).collect()}
     assert {s for s, _ in got} == {3} and got[3, "à"] == "а"
+
+
+def test_mails_without_a_date_have_no_ancestors(spark):
+    rows = [(k, 0, 0, [0], "t", "a", time, [1, 2, 3], [1.0], 9) for k, time in ((1, None), (2, 100), (3, 200))]
+    b = spark.createDataFrame(rows, "conv_id bigint, block int, para_idx int, lines array<int>, thread string, sender string, time bigint, shingles array<bigint>, x array<float>, hash bigint")
+    assert {r["conv_id"]: r["blocks"][0]["x"][1] for r in mail._featured(b).collect()} == {1: 0.0, 2: 0.0, 3: 1.0}

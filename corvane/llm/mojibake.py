@@ -2,18 +2,21 @@
 
 Method: expectation-maximization over latent encoding chains. A chain says that bytes of one character set
 were read in another (maybe twice); undoing it turns an observed word into a candidate form, where it can
-be undone at all. For every word with characters beyond ASCII the latent variable is the chain that it
-went through, "none" among them. The model has two parts that are learnt together: how often each clean
-form occurs in all records (with a character model behind it for forms not seen elsewhere), and how often
-each chain is at work per source (root) and field (title, head, body). E-step: posterior of the chains of
-each word, given both. M-step: expected counts of clean forms, so that a garbled word's mass moves to the
-form it stands for, and expected shares of the chains, so that weak evidence is pooled over the records of
-a source and field. A record's slot is affected when a word in it has a posterior above one half for a
-chain, or holds the replacement character, whose original is lost.
-
-Scale: records are read once, and only their words beyond ASCII travel, counted per source and field
-before the loop. All tables of the loop are word types, not words; joins are by form. The character model
-is a pair of histograms of fixed size, the only thing that is broadcast. Digits count as one class.
+be undone at all. Whole stretches are garbled, not single words, so the latent variable is the slot's: a
+title or paragraph went through a chain or not, and if so, a share of its words that is itself unknown did.
+The model has two parts that are learnt together: how often each clean form occurs in all records (with a
+character model behind it for forms not seen elsewhere), and how often each chain is at work per source
+(root) and field (title, head, body). E-step: every word weighs its form's probability against its own
+being clean; the slot's words and the share of its source and field give the posterior of slot and chain,
+and that the words'. M-step: expected counts of clean forms, so that a garbled word's mass moves to the
+form it stands for, characters learnt anew from them, and expected shares of the chains, so that weak
+evidence is pooled over the records of a source and field. A slot is affected when the posterior of a
+chain is above one half, or when it holds the replacement character, whose original is lost.
+
+Scale: records are read once, and only their words beyond ASCII travel. The loop works on the words that
+some chain explains better than the character model does, which are few; every other word takes part as a
+number of its slot. Tables of types are joined by word or form. The character model is four histograms
+of fixed size, the only thing that is broadcast. Numbers part words and are no part of them.
 
 Defined results: null titles and paragraphs have no rows; rows delivered twice count once; words in
 which no chain can be undone are clean; of several chains with one form the likeliest is named.
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -43,10 +47,13 @@ CHAINS = (
     "mac_roman<cp1252",
 )
 LOST = chr(0xFFFD)  # the replacement character
-_SPACE = re.compile(r"[ \t\r\n]+")
-_DIGITS = re.compile(r"[0-9]+(?:[.,:][0-9]+)*")
-_EDGE = " \t\r\n.,;:!?()[]{}\"'<>*|/\\-_=+&#@"
+_TOKEN = re.compile(r"[^ \t\r\n0-9]+")
+_EDGE = ".,;:!?()\"'<>*/-=+&#"
+_INNER = "[]{}|\\_@^`~"  # these may be second bytes of a character, so they go only where no byte beyond ASCII precedes
 _BUCKETS = 1 << 18
+_LETTER_CASE = {"lower": math.log(0.85), "title": math.log(0.12), "upper": math.log(0.029), "mixed": math.log(0.001)}
+#: Shares of a garbled slot's words that may have gone through the chain, equally likely.
+TOUCHED = (0.1, 0.5, 0.95)
 
 
 @cache
@@ -91,7 +98,7 @@ def undo(word: str, step: str) -> str | None:
         elif c in back:
             run.append(back[c])
             changed = True
-        elif true == "utf-8":
+        elif not single:
             if not flush():
                 return None
             out.append(c)
@@ -104,27 +111,41 @@ def undo(word: str, step: str) -> str | None:
 
 
 def candidates(word: str) -> list[tuple[str, str]]:
-    """(chain, form) for every chain that can be undone; the first of chains with one form."""
-    out: dict[str, str] = {}
+    """(chain, form) for every chain that can be undone."""
+    out: list[tuple[str, str]] = []
     for chain in CHAINS:
         form: str | None = word
         for step in chain.split():
             form = undo(form, step) if form is not None else None
         if form is not None and form != word and not any("\x80" <= c < "\xa0" for c in form):
-            out.setdefault(form, chain)
-    return [(chain, form) for form, chain in out.items()]
+            out.append((chain, form))
+    return out
+
 
+def words_of(text: str) -> list[tuple[int, str]]:
+    """(place, word): the words beyond ASCII, without numbers and punctuation at their edges."""
+    out = []
+    for m in _TOKEN.finditer(text):
+        t = m[0]
+        if t.isascii():
+            continue
+        start = len(t) - len(t.lstrip(_EDGE + _INNER))
+        t = t.lstrip(_EDGE + _INNER).rstrip(_EDGE)
+        while t and t[-1] in _INNER and t[-2:-1].isascii():
+            t = t[:-1].rstrip(_EDGE)
+        out.append((m.start() + start, t))
+    return out
 
-def folded(token: str) -> str:
-    return _DIGITS.sub("0", token)
 
+def _slots(records: DataFrame, units: DataFrame) -> DataFrame:
+    """A row per title or paragraph with words beyond ASCII: (ref, h, kind, source, slot, field, lost, m, words).
 
-def _occurrences(records: DataFrame) -> DataFrame:
-    """(ref, kind, slot, field, word, n): words beyond ASCII of each slot, digits folded."""
+    h tells versions of a record apart, m is the number of different words, words has them with their counts.
+    """
     r = records.select("ref", "kind", "title", "paragraphs").where(F.col("ref").isNotNull())
     r = r.withColumn("h", F.xxhash64("title", "paragraphs"))
 
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for ref, kind, title, ps, h in b.itertuples(index=False):
@@ -132,150 +153,177 @@ def _occurrences(records: DataFrame) -> DataFrame:
                     if text is None or text.isascii():
                         continue
                     field = "title" if slot < 0 else "head" if slot == 0 else "body"
-                    seen: dict[str, int] = {}
-                    for t in _SPACE.split(text):
-                        if not t.isascii():
-                            w = folded(t.strip(_EDGE))
-                            seen[w] = seen.get(w, 0) + 1
-                    rows += [(ref, kind, h, slot, field, w, n) for w, n in seen.items()]
-            yield pd.DataFrame(rows, columns=["ref", "kind", "h", "slot", "field", "word", "n"])
+                    seen = Counter(w for _, w in words_of(text))
+                    rows.append((ref, h, kind, slot, field, LOST in text, len(seen), [{"word": w, "n": n} for w, n in seen.items()]))
+            yield pd.DataFrame(rows, columns=["ref", "h", "kind", "slot", "field", "lost", "m", "words"])
+
+    schema = "ref string, h bigint, kind string, slot int, field string, lost boolean, m int, words array<struct<word: string, n: int>>"
+    s = spread(r).mapInPandas(parse, schema)
+    u = units.select(F.col("id").alias("ref"), F.col("root_id").alias("source")).where("ref IS NOT NULL").groupBy("ref").agg(F.min("source").alias("source"))
+    s = s.join(u, "ref", "left").withColumn("source", F.coalesce("source", F.lit(-1)))
+    return cut_lineage(s.dropDuplicates(["ref", "h", "slot"]))
+
 
-    schema = "ref string, kind string, h bigint, slot int, field string, word string, n bigint"
-    return spread(r).mapInPandas(words, schema).dropDuplicates(["ref", "h", "slot", "word"]).drop("h")
+def _kind(c: int) -> int:
+    """Script of a character: Latin, Greek, Cyrillic, other letters by 256, and 0 for what is no letter."""
+    return 1 + (0 if c < 0x370 else c >> 8) if chr(c).isalpha() else 0
 
 
-def _hashes(word: str) -> tuple[np.ndarray, np.ndarray]:
-    p = np.array([2, *map(ord, word), 3], dtype=np.int64)
-    return p[:-1] % _BUCKETS, (p[:-1] * 1_000_003 + p[1:] * 7919) % _BUCKETS
+def _hashes(word: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of a word's characters, of pairs, of pairs of a script and a character, and of scripts alone."""
+    codes = [2, *map(ord, word.lower()), 3]
+    p, k = np.array(codes, dtype=np.int64), np.array([_kind(c) if c > 3 else 256 + c for c in codes[:-1]], dtype=np.int64)
+    return p % _BUCKETS, (p[:-1] * 1_000_003 + p[1:] * 7919) % _BUCKETS, (k * 1_000_033 + p[1:] * 104_729 + 17) % _BUCKETS, k % _BUCKETS
+
+
+class Characters:
+    """Probability of a word from its characters and capitals.
+
+    Pairs of characters are backed by pairs of a script and a character, and these by single characters.
+    """
+
+    def __init__(self, counts: np.ndarray, weight: float = 2.0):
+        self.one, self.two, self.mixed, self.kind = np.maximum(counts, 0).reshape(4, _BUCKETS)
+        self.all, self.weight = self.one.sum() + 0.02 * 4096, weight
 
+    def log(self, word: str) -> float:
+        one, two, mixed, kind = _hashes(word)
+        alone = (self.one[one[1:]] + 0.02) / self.all
+        backed = (self.mixed[mixed] + self.weight * alone) / (self.kind[kind] + self.weight)
+        p = (self.two[two] + self.weight * backed) / (self.one[one[:-1]] + self.weight)
+        letters = [c for c in word if c.lower() != c.upper()]
+        capitals = sum(c != c.lower() for c in letters)
+        case = "lower" if capitals == 0 else "title" if capitals == 1 and letters[0] != letters[0].lower() else "upper" if capitals == len(letters) else "mixed"
+        return float(np.log(p).sum()) + _LETTER_CASE[case]
 
-def _character_model(types: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Histograms of characters and of pairs of characters, of fixed size, over all words."""
+
+def _learn(types: DataFrame) -> Characters:
+    """The character model of (word, n); the histograms have a fixed size, counts may be negative corrections."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(2 * _BUCKETS)
+        total = np.zeros(4 * _BUCKETS)
         for b in batches:
             for w, n in zip(b["word"], b["n"]):
-                one, two = _hashes(w)
-                np.add.at(total, one, n)
-                np.add.at(total, two + _BUCKETS, n)
+                for k, at in enumerate(_hashes(w)):
+                    np.add.at(total, at + k * _BUCKETS, n)
         at = np.nonzero(total)[0]
         yield pd.DataFrame({"bucket": at.astype(np.int32), "n": total[at]})
 
     h = types.select("word", "n").mapInPandas(count, "bucket int, n double").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(2 * _BUCKETS)
+    out = np.zeros(4 * _BUCKETS)
     out[h["bucket"].values] = h["n"].values
-    return out[:_BUCKETS], out[_BUCKETS:]
-
+    return Characters(out)
 
-def decide(occurrences: DataFrame, rounds: int = 3, doubt: float = 0.02, backoff: float = 0.1) -> DataFrame:
-    """(source, field, word, chain, form, posterior): the words that went through a chain, by EM.
 
-    occurrences has source, field, word, n. doubt is the share of garbled words that the first round
-    expects. Forms are drawn as in a Chinese restaurant: the first occurrence of a form costs what the
-    character model says (times backoff), each further one its count so far over the total, so that an
-    odd-looking word with a common form behind it is not saved by being repeated. The rounds that learn see
-    a word's occurrences as one; the last posterior is each source and field's own, from its share and count.
-    """
-    spark = occurrences.sparkSession
-    types = cut_lineage(occurrences.groupBy("source", "field", "word").agg(F.sum("n").cast("double").alias("n")))
-    words = cut_lineage(types.groupBy("word").agg(F.sum("n").alias("k")))
-    total = float(words.agg(F.sum("k")).first()[0] or 1)
-    model = spark.sparkContext.broadcast(_character_model(words.withColumnRenamed("k", "n")))
+def _probability(count: Column, base: Column, total: float, backoff: float) -> Column:
+    """log of a form's probability: its expected count, backed by its characters."""
+    return F.log((1 - backoff) * F.greatest(count, F.lit(0.0)) / total + backoff * F.exp(base) + 1e-300)
 
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        one, two = model.value
 
-        def score(w: str) -> float:
-            a, b = _hashes(w)
-            return float(np.log((two[b] + 0.02) / (one[a] + 0.02 * 4096)).sum())
+def decide(slots: DataFrame, rounds: int = 4, doubt: float = 0.02) -> DataFrame:
+    """(ref, h, slot, kind, word, chain, form, odds, slot_posterior, posterior): words that a chain may explain, by EM.
 
-        def rising(m: float, k: float) -> float:  # log of m (m + 1) ... (m + k - 1)
-            return math.lgamma(m + k) - math.lgamma(m)
-
-        for b in batches:
-            rows = []
-            for w, k in zip(b["word"], b["k"]):
-                for chain, form in [("none", w), *candidates(w)]:
-                    base = math.log(backoff) + score(form)
-                    if chain.startswith("utf-8"):  # each sequence would be valid by chance once in 16 times at most
-                        base += math.log(16) * sum(c > "\x7f" for c in form)
-                    fresh = base + rising(1, k) - math.log(k) - (k - 1) * math.log(total)
-                    rows.append((w, float(k), chain, form, base, fresh))
-            yield pd.DataFrame(rows, columns=["word", "k", "chain", "form", "base", "fresh"])
-
-    # fresh: log-probability of all k occurrences where nothing else has the form
-    x = spread(words).mapInPandas(expand, "word string, k double, chain string, form string, base double, fresh double")
-    x = x.withColumn("several", F.count("*").over(Window.partitionBy("word")) > 1).where("several").drop("several")
-    x = cut_lineage(x)
-    open_words = x.select("word").distinct()
-    clean = words.join(open_words, "word", "left_anti").select(F.col("word").alias("form"), F.col("k").alias("c"))
-    groups = cut_lineage(types.join(open_words, "word", "left_semi"))
-    whole = types.groupBy("source", "field").agg(F.sum("n").alias("t"))  # one row per source and field
-    counts = words.select(F.col("word").alias("form"), F.col("k").alias("c"))
-    start = F.when(F.col("chain") == "none", F.log(F.lit(1 - doubt))).otherwise(math.log(doubt / len(CHAINS)))
-    prior = x.select("word", "chain", (F.col("k") * start).alias("prior"))
-    posterior = x.withColumn("post", F.when(F.col("chain") == "none", 1.0).otherwise(0.0))
-    shares = None
-    for _ in range(rounds - 1):
-        y = posterior.drop("prior").join(counts, "form", "left").join(prior, ["word", "chain"])
-        m = F.coalesce("c", F.lit(0.0)) - F.col("k") * F.col("post")  # what other words give the form
-        joined = log_rising(m, F.col("k")) - F.col("k") * math.log(total)
-        y = y.withColumn("l", F.col("prior") + F.when(m > 0.5, F.greatest(joined, F.col("fresh"))).otherwise(F.col("fresh")))
-        of = Window.partitionBy("word")
-        y = y.withColumn("e", F.exp(F.greatest(F.col("l") - F.max("l").over(of), F.lit(-600.0))))
-        posterior = cut_lineage(y.select("word", "k", "chain", "form", "base", "fresh", (F.col("e") / F.sum("e").over(of)).alias("post")))
-        moved = posterior.select("form", (F.col("k") * F.col("post")).alias("c"))
-        counts = moved.unionByName(clean).groupBy("form").agg(F.sum("c").alias("c"))
-        g = groups.join(posterior.select("word", "chain", "post"), "word")
-        mass = g.groupBy("source", "field", "chain").agg(F.sum(F.col("n") * F.col("post")).alias("m"))
-        own = F.when(F.col("chain") == "none", 50 * (1 - doubt)).otherwise(50 * doubt / len(CHAINS))
-        garbled = mass.where("chain <> 'none'").groupBy("source", "field").agg(F.sum("m").alias("g"))
-        shares = mass.join(whole, ["source", "field"]).join(garbled, ["source", "field"], "left")
-        clear = F.col("t") - F.coalesce("g", F.lit(0.0))  # words without candidates count as clean
-        part = F.when(F.col("chain") == "none", clear).otherwise(F.col("m"))
-        shares = shares.select("source", "field", "chain", F.log((part + own) / (F.col("t") + 50)).alias("share"))
-        # shares has a row per source, field and chain
-        prior = g.join(F.broadcast(shares), ["source", "field", "chain"]).groupBy("word", "chain").agg(F.sum(F.col("n") * F.col("share")).alias("prior"))
-    # the last E-step: form counts of all records, but shares and numbers of occurrences of the own source and field
-    y = groups.join(posterior.select("word", "chain", "form", "base", "post"), "word").join(counts, "form", "left")
-    y = y.withColumn("share", start) if shares is None else y.join(F.broadcast(shares), ["source", "field", "chain"])
-    m = F.coalesce("c", F.lit(0.0)) - F.col("n") * F.col("post")
-    joined = log_rising(m, F.col("n")) - F.col("n") * math.log(total)
-    fresh = F.col("base") + log_rising(F.lit(1.0), F.col("n")) - F.log("n") - (F.col("n") - 1) * math.log(total)
-    y = y.withColumn("l", F.col("n") * F.col("share") + F.when(m > 0.5, F.greatest(joined, fresh)).otherwise(fresh))
-    of = Window.partitionBy("source", "field", "word")
-    y = y.withColumn("e", F.exp(F.greatest(F.col("l") - F.max("l").over(of), F.lit(-600.0)))).withColumn("post", F.col("e") / F.sum("e").over(of))
-    best = y.groupBy("source", "field", "word").agg(
-        F.max_by(F.struct("chain", "form"), F.when(F.col("chain") != "none", F.col("post"))).alias("b"),
-        F.sum(F.when(F.col("chain") != "none", F.col("post"))).alias("posterior"),
-    )
-    return best.where("posterior > 0.5").select("source", "field", "word", "b.chain", "b.form", "posterior")
-
-
-def log_rising(m: Column, k: Column) -> Column:
-    """log of m (m + 1) ... (m + k - 1), by Stirling's series."""
-
-    def lgamma(z: Column) -> Column:
-        return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z)
-
-    return lgamma(m + k + 1) - F.log(m + k) - lgamma(m + 1) + F.log(m)
-
-
-def _with_source(records: DataFrame, units: DataFrame) -> DataFrame:
-    o = _occurrences(records)
-    u = units.select(F.col("id").alias("uid"), F.col("root_id").alias("source")).dropDuplicates(["uid"])
-    o = o.join(u, o["ref"] == u["uid"], "left").withColumn("source", F.coalesce("source", F.lit(-1)))
-    return cut_lineage(o.select("ref", "kind", "slot", "field", "word", "n", "source"))
+    doubt is the share of garbled slots that the first round expects. The character model has the weight that
+    new words have by Good and Turing, the share of words seen once. That a garbled spelling occurs often says nothing for it: the first round takes no word as seen before
+    whose form is as frequent or looks far better, and a clean one gets its count back where its slots speak against the chain.
+    """
+    spark = slots.sparkSession
+    types = cut_lineage(slots.select(F.explode("words").alias("w")).groupBy("w.word").agg(F.sum("w.n").cast("double").alias("n")))
+    total, single = (float(v or 1) for v in types.agg(F.sum("n"), F.sum((F.col("n") == 1).cast("int"))).first())
+    backoff = min(0.5, single / total)
+    share_of = slots.groupBy("source", "field").agg(F.count("*").alias("slots"))
+
+    def expand(model):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            characters = model.value
+            for b in batches:
+                rows = []
+                for w, n in zip(b["word"], b["n"]):
+                    known = candidates(w)
+                    own = characters.log(w) if known else 0.0
+                    rows += [(w, n, chain, form, own, *_weigh(characters, chain, form)) for chain, form in known]
+                yield pd.DataFrame(rows, columns=["word", "n", "chain", "form", "own", "base", "luck"])
+
+        return run
+
+    def again(model):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            characters = model.value
+            for b in batches:
+                yield b.assign(own=[characters.log(w) for w in b["word"]], base=[characters.log(f) for f in b["form"]])
+
+        return run
+
+    schema = "word string, n double, chain string, form string, own double, base double, luck double"
+    pairs = spread(types).mapInPandas(expand(spark.sparkContext.broadcast(_learn(types))), schema)
+    pairs = pairs.join(types.select(F.col("word").alias("form"), F.col("n").alias("seen")), "form", "left").fillna(0.0, ["seen"])
+    # whatever the rest of a slot says: these words are likelier through the chain than new and clean
+    r = lambda count: F.col("luck") + _probability(F.col("seen"), F.col("base"), total, backoff) - _probability(count, F.col("own"), total, backoff)
+    pairs = cut_lineage(pairs.where(r(F.lit(0.0)) > 0))
+    # its count speaks for a word from the start, unless the form is as frequent or looks far better
+    start = F.when((F.col("seen") >= F.col("n")) | (F.col("luck") + F.col("base") - F.col("own") > 5), 0.0).otherwise(F.col("n") - 1)
+    each = slots.select("ref", "h", "slot", "kind", "source", "field", "m", F.explode("words").alias("w")).select("*", "w.word", F.col("w.n").alias("k")).drop("w")
+    each = cut_lineage(each.join(pairs.select("word").distinct(), "word", "left_semi"))
+    before = math.log(doubt / len(CHAINS)) - math.log(1 - doubt)
+    shares = moved = None
+    for step in range(rounds):
+        if moved is None:
+            x = pairs.withColumn("r", r(start))
+        else:
+            out_of = moved.groupBy("word").agg(F.sum("n").alias("out"))
+            into = moved.groupBy("form").agg(F.sum("n").alias("in"))
+            change = out_of.select("word", (-F.col("out")).alias("n")).unionByName(into.select(F.col("form").alias("word"), F.col("in").alias("n")))
+            model = spark.sparkContext.broadcast(_learn(types.unionByName(change)))
+            x = pairs.mapInPandas(again(model), pairs.schema).join(out_of, "word", "left").join(into, "form", "left")
+            x = x.join(moved.select("word", "chain", F.col("n").alias("own_n"), F.col("k").alias("own_k")), ["word", "chain"], "left").fillna(0.0, ["out", "in", "own_n", "own_k"])
+            part = F.when(F.col("own_k") > 0, F.col("own_n") / F.col("own_k")).otherwise(0.0)  # of the occurrence itself, which is no evidence for itself
+            form = _probability(F.col("seen") + F.col("in") - part, F.col("base"), total, backoff)
+            x = x.withColumn("r", F.col("luck") + form - _probability(F.col("n") - F.col("out") - (1 - part), F.col("own"), total, backoff))
+        x = x.select("word", "chain", "form", F.least("r", F.lit(500.0)).alias("r"))
+        y = each.join(x, "word").repartition("ref", "h", "slot")
+        if shares is None:
+            y = y.withColumn("odds", F.lit(before))
+        else:
+            y = y.join(shares, ["source", "field", "chain"], "left").fillna(before, ["odds"])
+        whole, own = Window.partitionBy("ref", "h", "slot", "chain"), Window.partitionBy("ref", "h", "slot", "word")
+        touched = lambda t: F.log(1 - t + t * F.exp("r"))
+        y = y.withColumn("met", F.count("*").over(whole))
+        y = y.withColumn("e", F.array(*[F.sum(touched(t)).over(whole) + (F.col("m") - F.col("met")) * math.log(1 - t) for t in TOUCHED]))
+        y = y.withColumn("top", F.array_max("e")).withColumn("e", F.transform("e", lambda v: F.exp(v - F.col("top"))))
+        y = y.withColumn("sum", F.aggregate("e", F.lit(0.0), lambda a, v: a + v))
+        y = y.withColumn("odds", F.exp(F.least(F.col("odds") + F.col("top") + F.log(F.col("sum") / len(TOUCHED)), F.lit(30.0))))
+        word = sum((F.col("e")[i] * t * F.exp("r") / (1 - t + t * F.exp("r")) for i, t in enumerate(TOUCHED)), F.lit(0.0)) / F.col("sum")
+        y = y.withColumn("p", F.col("odds") / (1 + F.col("odds")) * word)
+        # of several chains the word goes to the likelier ones
+        y = y.withColumn("weight", F.col("p") * F.exp(F.col("r") - F.max("r").over(own)))
+        y = y.withColumn("any", F.sum(F.col("p") / (1 - F.col("p"))).over(own))
+        y = y.withColumn("posterior", F.col("any") / (1 + F.col("any")) * F.col("weight") / F.greatest(F.sum("weight").over(own), F.lit(1e-300)))
+        if step == rounds - 1:
+            y = y.withColumn("any", F.sum(F.col("odds") / F.col("met")).over(Window.partitionBy("ref", "h", "slot")))
+            return y.select("ref", "h", "slot", "kind", "word", "chain", "form", "odds", (F.col("any") / (1 + F.col("any"))).alias("slot_posterior"), "posterior")
+        y = y.withColumn("slot_posterior", F.col("odds") / (1 + F.col("odds")))
+        y = cut_lineage(y.select("source", "field", "word", "chain", "form", "k", "posterior", (F.col("slot_posterior") / F.col("met")).alias("part")))
+        moved = cut_lineage(y.groupBy("word", "chain", "form").agg(F.sum(F.col("k") * F.col("posterior")).alias("n"), F.sum("k").cast("double").alias("k")))
+        seen = y.groupBy("source", "field", "chain").agg(F.sum("part").alias("g")).join(share_of, ["source", "field"])
+        seen = seen.withColumn("share", (F.col("g") + 50 * doubt / len(CHAINS)) / (F.col("slots") + 50))
+        clear = F.greatest(1 - F.sum("share").over(Window.partitionBy("source", "field")), F.lit(0.05))
+        shares = cut_lineage(seen.select("source", "field", "chain", (F.log("share") - F.log(clear)).alias("odds")))
+    raise ValueError("at least one round is needed")
+
+
+def _weigh(characters: Characters, chain: str, form: str) -> tuple[float, float]:
+    """log-probability of a form's characters, and what it says for a chain that its bytes happen to be valid.
+
+    Other text would make a valid UTF-8 sequence by chance once in 16 times at most.
+    """
+    return characters.log(form), math.log(16) * sum(c > "\x7f" for c in form) if chain.startswith("utf-8") else 0.0
 
 
 def garbled_slots(records: DataFrame, units: DataFrame) -> DataFrame:
     """(ref, slot): titles (-1) and paragraphs of source records that hold a garbled stretch."""
-    o = _with_source(records, units)
-    bad = decide(o).select("source", "field", "word")
-    s = o.where("kind = 'source'")
-    hit = s.join(bad, ["source", "field", "word"], "left_semi").select("ref", "slot")
-    return hit.unionByName(s.where(F.col("word").contains(LOST)).select("ref", "slot")).distinct()
+    s = _slots(records, units)
+    hit = decide(s).where("kind = 'source' AND slot_posterior > 0.5").select("ref", "slot")
+    return hit.unionByName(s.where("kind = 'source' AND lost").select("ref", "slot")).distinct()
 
 
 def repaired_slots(records: DataFrame, units: DataFrame) -> DataFrame:
@@ -283,12 +331,13 @@ def repaired_slots(records: DataFrame, units: DataFrame) -> DataFrame:
 
     Words whose characters are lost stay as they are and are counted.
     """
-    every = _with_source(records, units)
-    o, bad = every.where("kind = 'source'"), decide(every)
-    hits = o.join(bad.select("source", "field", "word", "chain"), ["source", "field", "word"], "left")
-    hits = hits.where(F.col("chain").isNotNull() | F.col("word").contains(LOST))
-    fix = hits.groupBy("ref").agg(F.collect_set(F.struct("slot", "word", "chain")).alias("fixes"))
-    r = records.where("kind = 'source'").select("ref", "title", "paragraphs").dropDuplicates(["ref"]).join(fix, "ref")
+    s = _slots(records, units)
+    d = decide(s).where("kind = 'source' AND slot_posterior > 0.5").groupBy("ref", "h", "slot", "word")
+    d = d.agg(F.max_by("chain", F.struct("posterior", "odds", "chain")).alias("chain"), F.sum("posterior").alias("posterior"))
+    d = d.select("ref", "h", "slot", F.when(F.col("posterior") > 0.5, F.col("word")).alias("word"), "chain")
+    lost = s.where("kind = 'source' AND lost").select("ref", "h", "slot", F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("chain"))
+    fix = d.unionByName(lost).groupBy("ref", "h").agg(F.collect_set(F.struct("slot", "word", "chain")).alias("fixes"))
+    r = records.where("kind = 'source'").select("ref", "title", "paragraphs").withColumn("h", F.xxhash64("title", "paragraphs")).dropDuplicates(["ref", "h"]).join(fix, ["ref", "h"]).drop("h")
     schema = "ref string, slot int, n_repaired int, n_lost int, repaired string"
 
     def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -298,22 +347,19 @@ def repaired_slots(records: DataFrame, units: DataFrame) -> DataFrame:
                 texts = [title, *(ps if ps is not None else [])]
                 by: dict[int, dict[str, str]] = {}
                 for f in fixes:
-                    by.setdefault(f["slot"], {})[f["word"]] = f["chain"]
+                    by.setdefault(f["slot"], {}).update({f["word"]: f["chain"]} if f["word"] else {})
                 for slot, known in by.items():
-                    done = lost = 0
-                    out = []
-                    for t in re.split(r"([ \t\r\n]+)", texts[slot + 1] or ""):
-                        core = t.strip(_EDGE)
-                        chain = known.get(folded(core)) if core and not core.isascii() else None
-                        lost += LOST in t
-                        if chain:
-                            form: str | None = core
-                            for step in chain.split():
-                                form = undo(form, step) if form is not None else None
-                            if form is not None:
-                                t, done = t.replace(core, form), done + 1
-                        out.append(t)
-                    rows.append((ref, slot, done, lost, "".join(out)))
+                    text, out, done, last = texts[slot + 1] or "", [], 0, 0
+                    lost = 0
+                    for at, word in words_of(text):
+                        lost += LOST in word
+                        form: str | None = word if word in known else None
+                        for step in known.get(word, "").split():
+                            form = undo(form, step) if form is not None else None
+                        if form is not None:
+                            out += [text[last:at], form]
+                            last, done = at + len(word), done + 1
+                    rows.append((ref, slot, done, lost, "".join([*out, text[last:]])))
             yield pd.DataFrame(rows, columns=["ref", "slot", "n_repaired", "n_lost", "repaired"])
 
     return r.mapInPandas(mend, schema)

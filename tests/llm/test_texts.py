@@ -196,12 +196,31 @@ def test_other_queries_run(spark, name):
 def test_garbled_in_one_source_and_clean_in_another(spark):
     russian = "работа слово дело время человек жизнь вопрос сторона страна случай голова ребенок система часть смотритель проверил якорную шлюза погода корабль пристань"
     russian += " капитан матрос журнал письмо берег волна ветер палуба дерево улица музыка история книга работник учитель студент"
-    garble = lambda w: w.encode("cp1251").decode("cp1252")
-    rows = [(1, "body", "à", 3000), (1, "body", "été", 500), (1, "body", "déjà", 400), (2, "body", "а", 20_000), (3, "body", garble("а"), 3)]
-    rows += [row for w in russian.split() for row in ((2, "body", w, 60), (3, "body", garble(w), 1))]
-    o = spark.createDataFrame(rows, "source int, field string, word string, n bigint")
-    got = {(r["source"], r["word"]): r["form"] for r in mojibake.decide(o).collect()}
-    assert {s for s, _ in got} == {3} and got[3, "à"] == "а"
+    words = russian.split()
+    line = lambda k: " а ".join(words[(k + j) % len(words)] for j in range(4))
+    rows = [(f"F{k}", "source", None, ["il est à la maison, déjà cet été à midi"]) for k in range(300)]
+    rows += [(f"R{k}", "source", None, [line(k)]) for k in range(600)]
+    rows += [(f"G{k}", "source", None, [line(5 * k).encode("cp1251").decode("cp1252")]) for k in range(3)]
+    r = spark.createDataFrame(rows, "ref string, kind string, title string, paragraphs array<string>")
+    u = spark.createDataFrame([(x[0], "FRG".index(x[0][0])) for x in rows], "id string, root_id int")
+    got = {x["ref"]: x["repaired"] for x in mojibake.repaired_slots(r, u).collect()}
+    assert got == {f"G{k}": line(5 * k) for k in range(3)}
+
+
+def test_a_garbled_spelling_is_found_however_often_it_occurs(spark):
+    text = "le relevé était signé à la jetée, le café fermé"
+    rows = [(f"C{k}", "source", "Dépôt", [text, "numéro contesté, écluse réparée, câble brûlé"]) for k in range(120)]
+    rows += [(f"G{k}", "source", "Dépôt", [garble(text, "utf-8", "cp1252"), "une clé, un procès-verbal et un " + garble("câble brûlé", "utf-8", "cp1252")]) for k in range(60)]
+    r = spark.createDataFrame(rows, "ref string, kind string, title string, paragraphs array<string>")
+    u = spark.createDataFrame([(x[0], 1) for x in rows], "id string, root_id int")
+    assert {tuple(x) for x in mojibake.garbled_slots(r, u).collect()} == {(f"G{k}", p) for k in range(60) for p in (0, 1)}
+
+
+def test_words_beyond_ascii_and_their_places():
+    text = "(café), 7班の記録12 plain “x” ‚\\ £5.20 l’été."
+    found = mojibake.words_of(text)
+    assert [w for _, w in found] == ["café", "班の記録", "“x”", "‚\\", "£", "l’été"]
+    assert all(text[at : at + len(w)] == w for at, w in found)
 
 
 def test_mails_without_a_date_have_no_ancestors(spark):

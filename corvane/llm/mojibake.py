@@ -14,8 +14,7 @@ evidence is pooled over the records of a source and field. A slot is affected wh
 chain is above one half, or when it holds the replacement character, whose original is lost.
 
 Scale: records are read once, and only their words beyond ASCII travel. The loop works on the words that
-some chain explains better than the character model does, which are few; every other word takes part as a
-number of its slot. Tables of types are joined by word or form. The character model is four histograms
+some chain may explain, which are few; every other word takes part as a number of its slot. Tables of types are joined by word or form. The character model is four histograms
 of fixed size, the only thing that is broadcast. Numbers part words and are no part of them.
 
 Defined results: null titles and paragraphs have no rows; rows delivered twice count once; words in
@@ -257,11 +256,11 @@ def decide(slots: DataFrame, rounds: int = 4, doubt: float = 0.02) -> DataFrame:
     schema = "word string, n double, chain string, form string, own double, base double, luck double"
     pairs = spread(types).mapInPandas(expand(spark.sparkContext.broadcast(_learn(types))), schema)
     pairs = pairs.join(types.select(F.col("word").alias("form"), F.col("n").alias("seen")), "form", "left").fillna(0.0, ["seen"])
-    # whatever the rest of a slot says: these words are likelier through the chain than new and clean
     r = lambda count: F.col("luck") + _probability(F.col("seen"), F.col("base"), total, backoff) - _probability(count, F.col("own"), total, backoff)
-    pairs = cut_lineage(pairs.where(r(F.lit(0.0)) > 0))
     # its count speaks for a word from the start, unless the form is as frequent or looks far better
     start = F.when((F.col("seen") >= F.col("n")) | (F.col("luck") + F.col("base") - F.col("own") > 5), 0.0).otherwise(F.col("n") - 1)
+    # below this a word is rather clean even in a slot most of which went through the chain
+    pairs = cut_lineage(pairs.where(r(start) > math.log((1 - max(TOUCHED)) / max(TOUCHED))))
     each = slots.select("ref", "h", "slot", "kind", "source", "field", "m", F.explode("words").alias("w")).select("*", "w.word", F.col("w.n").alias("k")).drop("w")
     each = cut_lineage(each.join(pairs.select("word").distinct(), "word", "left_semi"))
     before = math.log(doubt / len(CHAINS)) - math.log(1 - doubt)

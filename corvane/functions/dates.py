@@ -124,6 +124,11 @@ def _date(iso: Column, confidence: Column, granularity: Column, text: Column) ->
     return F.struct(iso.alias("iso"), confidence.alias("confidence"), granularity.alias("granularity"), text.alias("text"))
 
 
+def date_of(iso: Column, confidence: Column, text: Column) -> Column:
+    """A day from outside as a date."""
+    return _date(iso, confidence, F.lit("day"), text)
+
+
 def _from_shape(shape: Column, exact, text) -> Column:
     return bind(shape, lambda s: _dated(s, exact(s), text(s)))
 

@@ -8,8 +8,10 @@ average length, documents per phrase) are taken over all rows before any filter
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,8 +126,12 @@ def hybrid(paragraphs: DataFrame, vectors: DataFrame, eligible: DataFrame, phras
 
 def header(records: DataFrame, hits: DataFrame) -> DataFrame:
     """One row of exact totals over the records hit."""
-    j = records.join(hits, "ref")
-    return j.agg(
+    return totals(records.join(hits, "ref"))
+
+
+def totals(found: DataFrame) -> DataFrame:
+    """One row of exact totals over records with their matches and lexical_matches."""
+    return found.agg(
         F.count("*").alias("records"),
         F.count_if(F.col("lexical_matches") > 0).alias("lexical_records"),
         F.coalesce(F.sum("matches"), F.lit(0)).alias("paragraphs"),
@@ -153,6 +159,31 @@ def snippet(text: Column, phrases: list[list[str]], width: int = 32) -> Column:
     return bind(F.filter(F.split(text, r"\s+"), lambda w: w != ""), around)
 
 
+def embedded(paragraphs: DataFrame, known: DataFrame | None, embed: Callable[[list[str]], list[list[float]]], batch: int = 64) -> DataFrame:
+    """(ref, idx, text_hash, embedding) of (ref, idx, text); equal texts and those known by (text_hash, embedding) are embedded once.
+
+    embed makes vectors of a list of texts; it must give as many vectors as texts, all of one length.
+    """
+    p = paragraphs.select("ref", "idx", "text", F.sha2("text", 256).alias("text_hash"))
+    fresh = p.select("text_hash", "text").dropDuplicates(["text_hash"])
+    if known is not None:
+        fresh = fresh.join(known, "text_hash", "left_anti")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for start in range(0, len(b), batch):
+                part = b.iloc[start : start + batch]
+                vectors = embed(part["text"].tolist())
+                if len(vectors) != len(part) or len({len(v) for v in vectors}) > 1:
+                    raise ValueError("the embedder must give one vector of one length for each text")
+                yield pd.DataFrame({"text_hash": part["text_hash"].values, "embedding": vectors})
+
+    vectors = fresh.mapInPandas(run, "text_hash string, embedding array<float>")
+    if known is not None:
+        vectors = vectors.unionByName(known.select("text_hash", "embedding"))
+    return p.drop("text").join(vectors, "text_hash").select("ref", "idx", "text_hash", "embedding")
+
+
 def hashing_embedder(text: str, dim: int = 96) -> list[float]:
     """A deterministic unit vector of a text's words, where no model is at hand."""
     import zlib

@@ -2,7 +2,7 @@
 
 A snapshot is a folder of tables, written whole and then named by a pointer file, so that readers always
 see one consistent state and a failed write leaves the last one in place. Queries pin a snapshot; nothing
-is refreshed while one runs. A page is cut from a stored evidence table by key, never recomputed by offset.
+is refreshed while one runs. What a scope holds is found once; its further pages are read from stored lists by number.
 """
 
 from __future__ import annotations
@@ -13,16 +13,18 @@ import math
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import dates, refs
 from corvane.functions import text as T
 from corvane.operators import ledger, plan, read, records, search
+from corvane.session import cut_lineage
 
 HITS, BROWSE_HITS, ROWS = 100, 500, 500
 SOURCE = r"^SRC-\d{6,}$"  # records whose paragraphs are cited by number
 ANCHORS = "unit_id string, p int, idx int, text string, live string, added string, retired string"
+SCOPES = 32  # scopes whose evidence is kept for further pages
 LISTS = ("hits", "months", "covered", "chunks")  # the lists of a reply; each is paged by an offset of its own
 
 
@@ -86,26 +88,75 @@ class Reply:
         return math.ceil(len(self.text().encode()) / 4)
 
 
+class Found:
+    """What a scope holds: its totals, and lists that are read by page.
+
+    The first rows of a list come from a top-k; only when a later page is asked for is the list sorted, numbered
+    and written to the shared folder, once, and pages are then read by number.
+    """
+
+    def __init__(self, header: dict, lists: dict[str, tuple[DataFrame, list[str], list]]):
+        self.header, self._lists = header, lists
+        self._first: dict[str, tuple[int, list[dict]]] = {}  # rows asked for, and those there were
+        self._numbered: dict[str, DataFrame] = {}
+
+    def page(self, name: str, start: int, count: int) -> list[dict]:
+        rows, order, show = self._lists[name]
+        if start == 0:
+            if self._first.get(name, (0, []))[0] < count:
+                self._first[name] = count, [x.asDict() for x in rows.orderBy(*[_sorted(k) for k in order]).select(*show).limit(count).collect()]
+            return self._first[name][1][:count]
+        if name not in self._numbered:
+            self._numbered[name] = cut_lineage(numbered(rows, order, show))
+        n = F.col("row_number")
+        return [x.asDict() for x in self._numbered[name].where((n >= start) & (n < start + count)).orderBy(n).drop("row_number").collect()]
+
+
+def _sorted(key: str):
+    return F.desc(key[1:]) if key.startswith("-") else F.asc(key)
+
+
+def numbered(rows: DataFrame, order: list[str], show: list) -> DataFrame:
+    """The shown columns of the rows with row_number from 0 in a total order (-key: descending), counted by range partitions."""
+    order_by = [_sorted(k) for k in order]
+    parts = rows.repartitionByRange(*order_by).sortWithinPartitions(*order_by).select(*show)
+    parts = cut_lineage(parts.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id() % (1 << 33)}))
+    before = parts.groupBy("part").agg(F.count("*").alias("k"))
+    before = before.select("part", (F.sum("k").over(Window.orderBy("part")) - F.col("k")).alias("before"))  # a row per partition
+    return parts.join(F.broadcast(before), "part").withColumn("row_number", F.col("at") + F.col("before")).drop("part", "at", "before")
+
+
 class Corpus:
     """A stored corpus below a folder that all executors share."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._found: dict[tuple, Found] = {}  # the evidence of the last scopes, which pages share
 
     def _files(self, path: str):
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def commit(self, raw_records: DataFrame, vectors: DataFrame | None = None, revision: str = "0") -> str:
-        """Write a snapshot and point to it; returns its name. Paragraphs keep their numbers from the one before."""
-        name, before = uuid.uuid4().hex, self._latest()
+    def commit(self, raw_records: DataFrame, vectors: DataFrame | None = None, revision: str = "0", more: dict[str, DataFrame] | None = None, embed=None) -> str:
+        """Write a snapshot and point to it; returns its name. Paragraphs keep their numbers from the one before.
+
+        more has further tables of the snapshot by name. embed makes vectors of a list of texts; those of texts
+        that the snapshot before holds are taken from there.
+        """
+        name, before = self.new_name(), self._latest()
         base = f"{self.folder}/{name}"
+        for extra, rows in (more or {}).items():
+            rows.write.parquet(f"{base}/{extra}")
         r = records.records_of(raw_records)
         r.write.parquet(f"{base}/records")
         p = records.paragraphs_of(self.spark.read.parquet(f"{base}/records"))
         p.repartition("ref").sortWithinPartitions("ref", "idx").write.parquet(f"{base}/paragraphs")
         self._align(before, name).repartition("unit_id").sortWithinPartitions("unit_id", "p").write.parquet(f"{base}/anchors")
+        if embed is not None:
+            fs, kept = self._files(f"{self.folder}/{before}/vectors")
+            known = self.table("vectors", before).select("text_hash", "embedding").dropDuplicates(["text_hash"]) if before and fs.exists(kept) else None
+            vectors = search.embedded(self.table("paragraphs", name), known, embed)
         if vectors is not None:
             vectors.write.parquet(f"{base}/vectors")
         self.spark.createDataFrame([(name, revision)], "name string, revision string").coalesce(1).write.json(f"{base}/pointer")
@@ -119,6 +170,10 @@ class Corpus:
         named = [(s.getModificationTime(), s.getPath().getName()) for s in listed if s.getPath().getName().startswith("CURRENT-")]
         return max(named)[1].removeprefix("CURRENT-") if named else None
 
+    @staticmethod
+    def new_name() -> str:
+        return uuid.uuid4().hex
+
     def current(self) -> str:
         name = self._latest()
         if name is None:
@@ -180,6 +235,37 @@ class Corpus:
             if c["rev"] != snapshot:
                 raise ValueError(f"the corpus changed since this cursor was made; search again: {query!r} {from_ or ''}..{to or ''}")
         snapshot = self.current()
+        scope_key = (snapshot, query, from_, to, who, kind, chunk_tokens)
+        caps = {**dict.fromkeys(LISTS, ROWS), "hits": HITS if T.query_phrases(query) else BROWSE_HITS}
+        found = self._found.get(scope_key)
+        if found is None:
+            found = self._find(*scope_key)
+            if len(self._found) >= SCOPES:
+                self._found.pop(next(iter(self._found)))
+            self._found[scope_key] = found
+        # one row beyond the cap tells whether a list goes on
+        rows = {k: found.page(k, at[k], caps[k] + 1) if at[k] is not None else [] for k in LISTS}
+        reply = Reply(dict(found.header), **{k: rows[k][: caps[k]] for k in LISTS})
+        scope = {"t": "search", "rev": snapshot, "query": query, "from": from_, "to": to, "who": who, "kind": kind, "chunk_tokens": chunk_tokens}
+        shown = {k: getattr(reply, k) for k in LISTS}
+
+        def settle() -> None:
+            after = {k: at[k] + len(shown[k]) if len(shown[k]) < len(rows[k]) else None for k in LISTS}
+            reply.continuation = encode_cursor({**scope, "at": after}) if any(v is not None for v in after.values()) else None
+
+        settle()
+        while reply.tokens() > config.reply_tokens:
+            longest = max(shown.values(), key=len)
+            if not longest:
+                break
+            longest.pop()
+            settle()
+        if reply.continuation and not any(shown.values()):
+            raise ValueError("not one row fits into the reply budget; narrow the scope")
+        return reply
+
+    def _find(self, snapshot: str, query: str, from_: str | None, to: str | None, who: str | None, kind: str | None, chunk_tokens: int) -> "Found":
+        """The evidence of a scope: totals, and the four lists in their orders."""
         r, p = self.table("records", snapshot), self.table("paragraphs", snapshot)
         named = None
         if who:
@@ -199,45 +285,22 @@ class Corpus:
                 if "PATH_NOT_FOUND" not in str(e):
                     raise
                 sem = lex.limit(0).withColumnRenamed("lex_rank", "sem_rank")
-            hits = search.by_record(search.fuse(lex, sem, ["ref", "idx"]))
+            hits = cut_lineage(search.by_record(search.fuse(lex, sem, ["ref", "idx"])))
+            whole = r.join(hits, "ref")
         else:
-            hits = ok.select("ref", F.lit(None).cast("int").alias("best_idx"), F.lit(1).cast("bigint").alias("matches"), F.lit(0).cast("bigint").alias("lexical_matches"), F.lit(0.0).alias("score"))
-        hits = hits.persist()
-        try:
-            found = r.join(hits, "ref")
-            head = search.header(r, hits).first().asDict()
-            cov = plan.coverage(r, self.revision(snapshot), from_, to).orderBy("day_from", "ref")
-            todo = plan.chunk_plan(plan.plan_candidates(r.join(hits.select("ref"), "ref", "left_semi"), cov), chunk_tokens)
-            chunks = todo.groupBy("chunk").agg(F.countDistinct("ref").alias("records"), F.sum("tokens").alias("tokens")).orderBy("chunk")
-            order = [F.desc("score"), "ref"] if phrases else list(records.BROWSE)
-            cap = HITS if phrases else BROWSE_HITS
-            citation = F.when(F.col("p").isNull(), F.col("ref")).otherwise(F.concat_ws(" ", "ref", F.concat(F.lit("p"), "p")))
-            numbers = self.anchors(snapshot).where("retired IS NULL").select(F.col("unit_id").alias("ref"), F.col("idx").alias("best_idx"), "p")
-            page = found.join(numbers, ["ref", "best_idx"], "left").orderBy(*order).select(citation.alias("citation"), dates.display_date().alias("date"), T.cap_at_word(F.coalesce("title", F.lit(""))).alias("title"), "matches")
-            tables = {"hits": page, "months": records.by_month(found).orderBy("month"), "covered": cov, "chunks": chunks}
-            caps = {**dict.fromkeys(LISTS, ROWS), "hits": cap}
-            # one row beyond the cap tells whether a list goes on
-            rows = {k: [x.asDict() for x in f.offset(at[k]).limit(caps[k] + 1).collect()] if at[k] is not None else [] for k, f in tables.items()}
-            reply = Reply(head, **{k: rows[k][: caps[k]] for k in LISTS})
-        finally:
-            hits.unpersist()
-        scope = {"t": "search", "rev": snapshot, "query": query, "from": from_, "to": to, "who": who, "kind": kind, "chunk_tokens": chunk_tokens}
-        shown = {k: getattr(reply, k) for k in LISTS}
-
-        def settle() -> None:
-            after = {k: at[k] + len(shown[k]) if len(shown[k]) < len(rows[k]) else None for k in LISTS}
-            reply.continuation = encode_cursor({**scope, "at": after}) if any(v is not None for v in after.values()) else None
-
-        settle()
-        while reply.tokens() > config.reply_tokens:
-            longest = max(shown.values(), key=len)
-            if not longest:
-                break
-            longest.pop()
-            settle()
-        if reply.continuation and not any(shown.values()):
-            raise ValueError("not one row fits into the reply budget; narrow the scope")
-        return reply
+            nothing = {"best_idx": F.lit(None).cast("int"), "matches": F.lit(1).cast("bigint"), "lexical_matches": F.lit(0).cast("bigint"), "score": F.lit(0.0)}
+            whole = ok.withColumns(nothing)
+        cov = plan.coverage(r, self.revision(snapshot), from_, to)
+        todo = plan.chunk_plan(plan.plan_candidates(whole.drop("best_idx", "matches", "lexical_matches", "score"), cov), chunk_tokens)
+        chunks = todo.groupBy("chunk").agg(F.countDistinct("ref").alias("records"), F.sum("tokens").alias("tokens"))
+        order = ["-score", "ref"] if phrases else list(records.BROWSE)
+        citation = F.when(F.col("p").isNull(), F.col("ref")).otherwise(F.concat_ws(" ", "ref", F.concat(F.lit("p"), "p")))
+        numbers = self.anchors(snapshot).where("retired IS NULL").select(F.col("unit_id").alias("ref"), F.col("idx").alias("best_idx"), "p")
+        cited = whole.join(numbers, ["ref", "best_idx"], "left") if phrases else whole.withColumn("p", F.lit(None).cast("int"))
+        show = [citation.alias("citation"), dates.display_date().alias("date"), T.cap_at_word(F.coalesce("title", F.lit(""))).alias("title"), "matches"]
+        header = search.totals(whole).first().asDict()
+        lists = {"hits": (cited, order, show), "months": (records.by_month(whole), ["month"], ["*"]), "covered": (cov, ["day_from", "ref"], ["*"]), "chunks": (chunks, ["chunk"], ["*"])}
+        return Found(header, lists)
 
     def read(self, ref: str, page: int = 0, config: ProjectConfig = ProjectConfig()) -> tuple[str, int]:
         """(text of the page, number of pages) of a record or file, or of paragraphs of a record by their numbers.

@@ -1,7 +1,8 @@
 """Variant spellings of names of persons and organisations, linked to their entity (problem 7).
 
-Method: noisy-channel attribution. An entity's canonical forms are its title and aliases, and what people
-make of them: parts reordered, initials, nicknames, titles before the name, log-in names, abbreviations,
+Method: noisy-channel attribution. An entity's canonical forms are its title, its aliases, and the spellings that
+rank as frequent among those that certainly mean it; a form costs what its share of the entity's mentions says.
+What people make of a form: parts reordered, initials, nicknames, titles before the name, log-in names, abbreviations,
 acronyms, dropped parts. Each distinct spelling is read in every way it can be, candidates come from an
 index of deletion neighbourhoods of the telling part (surname, or the organisation's own name), and each
 candidate gets a likelihood: what its reading costs, and what its typing errors cost (Damerau distance on
@@ -11,8 +12,9 @@ frequent spellings draw ambiguous ones. Each spelling goes to the entity of maxi
 outweighs "nobody".
 
 Scale: mentions are counted per distinct spelling before anything else; only spellings are read, and only
-(spelling, entity) candidates are joined. The entity index is sent to the tasks in blocks of at most
+(spelling, entity) candidates are joined. The index of forms is sent to the tasks in blocks of at most
 block_entities; several blocks are several passes over the spellings, whose candidates are united.
+Titles are read first; what they explain gives the frequent forms, which are read in a second pass.
 
 Defined results: null, empty or unreadable names, and names that fit no entity, have no row; a spelling that
 fits several entities equally well goes to the more frequent one, and has no row if none reaches half of
@@ -117,14 +119,18 @@ def _allowed(word: str) -> int:
 
 
 class Channel:
-    """The index of one block of entities, and the likelihoods of spellings."""
+    """The index of one block of canonical forms, and the likelihoods of spellings.
 
-    def __init__(self, entities: list[tuple]):
+    A form is (entity, kind, name, cost of its being used, names that mean it as they are).
+    """
+
+    def __init__(self, forms: list[tuple]):
         self.keys: dict[str, set[int]] = defaultdict(set)
         self.whole: dict[str, set[int]] = defaultdict(set)
         self.acronyms: dict[str, set[int]] = defaultdict(set)
         self.entities = []
-        for ref, kind, title, aliases in entities:
+        self.costs: list[float] = []
+        for ref, kind, title, cost, aliases in forms:
             if not title or not title.strip():
                 continue
             k = len(self.entities)
@@ -133,6 +139,7 @@ class Channel:
                 continue
             organisation = kind == "organisation"
             self.entities.append((ref, organisation, words))
+            self.costs.append(cost)
             tell = words[0] if organisation else words[-1]
             for d in _deletions(folded(tell)):
                 self.keys[d].add(k)
@@ -262,24 +269,23 @@ class Channel:
             else:
                 self._person(words[:-1], words[-1], out)
                 self._person(words[1:], words[0], out, cost=1.0)
-        return [(self.entities[k][0], c) for k, c in out.items()]
+        best: dict[str, float] = {}
+        for k, c in out.items():
+            ref = self.entities[k][0]
+            best[ref] = min(best.get(ref, 99.0), c + self.costs[k])
+        return list(best.items())
 
 
-def attribute_names(
-    mentions: DataFrame, entities: DataFrame, nobody: float = 9.5, block_entities: int = 100_000
-) -> DataFrame:
-    """(mention_id, entity_ref, posterior): the entity that each typed name means.
+def _read(spellings: DataFrame, forms: DataFrame, nobody: float, block: int) -> DataFrame:
+    """(name_text, n, entity_ref, cost): readings of the spellings as variants of forms, cheaper than nobody.
 
-    nobody is the cost of a name that belongs to no entity: a reading that costs more loses to it.
+    The forms (ref, note_type, name, cost, same) are sent to the tasks in blocks of at most about `block`.
     """
-    m = mentions.select("mention_id", "name_text").where("mention_id IS NOT NULL AND trim(name_text) <> ''").distinct()
-    spellings = m.groupBy("name_text").agg(F.count("*").alias("n"))
-    e = entities.select("ref", "note_type", "title", "aliases").where("ref IS NOT NULL").dropDuplicates(["ref"])
-    blocks = max(1, -(-e.count() // block_entities))
+    blocks = max(1, -(-forms.count() // block))
     found = None
     for b in range(blocks):
-        own = e if blocks == 1 else e.where(F.pmod(F.xxhash64("ref"), F.lit(blocks)) == b)
-        sent = mentions.sparkSession.sparkContext.broadcast(Channel([tuple(r) for r in own.collect()]))
+        own = forms if blocks == 1 else forms.where(F.pmod(F.xxhash64("ref", "name"), F.lit(blocks)) == b)
+        sent = spellings.sparkSession.sparkContext.broadcast(Channel([tuple(r) for r in own.collect()]))
 
         def read(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             for x in batches:
@@ -288,12 +294,57 @@ def attribute_names(
 
         part = spread(spellings).mapInPandas(read, "name_text string, n bigint, entity_ref string, cost double")
         found = part if found is None else found.unionByName(part)
-    c = cut_lineage(found.where(F.col("cost") < nobody))
+    return found.where(F.col("cost") < nobody)
+
+
+def _attributed(readings: DataFrame, nobody: float) -> DataFrame:
+    """(name_text, n, entity_ref, posterior): each spelling's entity of maximum posterior, where it outweighs nobody.
+
+    The prior of the entities is how often they are meant, by one expectation step over the likelihoods.
+    """
     of = Window.partitionBy("name_text")
-    even = c.withColumn("p", F.exp(-F.col("cost"))).withColumn("p", F.col("p") / (F.sum("p").over(of) + F.exp(F.lit(-nobody))))
+    even = readings.withColumn("p", F.exp(-F.col("cost"))).withColumn("p", F.col("p") / (F.sum("p").over(of) + F.exp(F.lit(-nobody))))
     prior = even.groupBy("entity_ref").agg((F.sum(F.col("n") * F.col("p")) + 0.5).alias("prior"))  # one row per entity
-    scored = c.join(prior, "entity_ref").withColumn("w", F.col("prior") * F.exp(-F.col("cost")))
+    scored = readings.join(prior, "entity_ref").withColumn("w", F.col("prior") * F.exp(-F.col("cost")))
     scored = scored.withColumn("posterior", F.col("w") / F.sum("w").over(of))
-    best = scored.groupBy("name_text").agg(F.max_by(F.struct("entity_ref", "posterior"), F.struct("posterior", "entity_ref")).alias("b"))
-    best = best.where("b.posterior >= 0.5").select("name_text", "b.entity_ref", "b.posterior")
+    best = scored.groupBy("name_text").agg(F.max_by(F.struct("n", "entity_ref", "posterior"), F.struct("posterior", "entity_ref")).alias("b"))
+    return best.select("name_text", "b.*").where("posterior >= 0.5")
+
+
+def _variants(first: DataFrame, entities: DataFrame, frequent: int) -> DataFrame:
+    """Further canonical forms: aliases, and spellings ranked by how often they stand for their entity.
+
+    A spelling is one if it is a name in full (two words or more, no initials), is certainly its entity's
+    (posterior 0.9) and occurs at least `frequent` times. Its cost is that of being used instead of the title.
+    """
+    meant = first.groupBy("entity_ref").agg(F.sum("n").alias("total"))
+    full = F.size(F.regexp_extract_all("name", F.lit(r"[\p{L}\p{N}]{2,}"), F.lit(0))) >= 2
+    full &= ~F.col("name").rlike(r"(?U),|\.|@|^\s*\p{L}\s|\s\p{L}\s|\s\p{L}\s*$")
+    spelt = first.where(F.col("posterior") >= 0.9).select(F.col("entity_ref").alias("ref"), F.col("name_text").alias("name"), "n")
+    alias = entities.select("ref", F.explode("aliases").alias("name")).where(F.trim(F.coalesce("name", F.lit(""))) != "")
+    alias = alias.distinct().join(spelt, ["ref", "name"], "left").select("ref", "name", F.coalesce("n", F.lit(0)).alias("n"))
+    own = spelt.where(F.col("n") >= frequent).unionByName(alias).where(full).groupBy("ref", "name").agg(F.max("n").alias("n"))
+    own = own.join(entities.select("ref", "note_type", "title"), "ref").where(F.lower("name") != F.lower(F.coalesce("title", F.lit(""))))
+    own = own.join(meant.withColumnRenamed("entity_ref", "ref"), "ref", "left")
+    cost = -F.log((F.col("n") + 0.5) / (F.coalesce("total", F.lit(0)) + 1.0))
+    return own.select("ref", "note_type", "name", cost.alias("cost"), F.array().cast("array<string>").alias("same"))
+
+
+def attribute_names(
+    mentions: DataFrame, entities: DataFrame, nobody: float = 9.5, frequent: int = 5, block_entities: int = 100_000
+) -> DataFrame:
+    """(mention_id, entity_ref, posterior): the entity that each typed name means.
+
+    nobody is the cost of a name that belongs to no entity: a reading that costs more loses to it. frequent is
+    the number of occurrences from which a spelling may be a canonical form itself.
+    """
+    m = mentions.select("mention_id", "name_text").where("mention_id IS NOT NULL AND trim(name_text) <> ''").distinct()
+    spellings = cut_lineage(m.groupBy("name_text").agg(F.count("*").alias("n")))
+    e = entities.select("ref", "note_type", "title", "aliases").where("ref IS NOT NULL").dropDuplicates(["ref"])
+    titles = e.select("ref", "note_type", F.col("title").alias("name"), F.lit(0.0).alias("cost"), F.col("aliases").alias("same"))
+    by_title = cut_lineage(_read(spellings, titles, nobody, block_entities))
+    variants = cut_lineage(_variants(_attributed(by_title, nobody), e, frequent))
+    by_variant = _read(spellings, variants, nobody, block_entities)
+    readings = by_title.unionByName(by_variant).groupBy("name_text", "n", "entity_ref").agg(F.min("cost").alias("cost"))
+    best = _attributed(cut_lineage(readings), nobody).select("name_text", "entity_ref", "posterior")
     return m.join(best, "name_text").select("mention_id", "entity_ref", "posterior")

@@ -111,6 +111,18 @@ def test_names_find_their_entity(spark):
     assert names.attribute_names(m, e.limit(0)).count() == 0 and names.attribute_names(m.limit(0), e).count() == 0
 
 
+def test_errors_in_aliases_and_frequent_spellings(spark):
+    entities = [("o1", "organisation", "Knirthale Marine Dredging Association", ["Tidewater Salvage Works", None]), ("p1", "person", "Margaret Ostrander", ["Greta Lindqvist"]), ("p2", "person", "Samuel Vrobel", None)]
+    typed = [("Samuel Vrobel", "p2", 30), ("Samuel Vroble", "p2", 12), ("Tidewatr Salvage Works", "o1", 1), ("Lindqvst, Greta", "p1", 1), ("Tidewater Salvage Works", "o1", 40), ("Greta Lindqvist", "p1", 20)]
+    typed += [("Samuel Vroxble", "p2", 1), ("Somebody Lindqvist", None, 3), ("Lindqvist", "p1", 2), ("Old Salvage Works", None, 2)]
+    rows = [(name, ref) for name, ref, n in typed for _ in range(n)]
+    m = spark.createDataFrame([(k, name) for k, (name, _) in enumerate(rows)], "mention_id bigint, name_text string")
+    e = spark.createDataFrame(entities, "ref string, note_type string, title string, aliases array<string>")
+    for how in ({}, {"block_entities": 1}):
+        got = {r["mention_id"]: r["entity_ref"] for r in names.attribute_names(m, e, **how).collect()}
+        assert {name: got.get(k) for k, (name, _) in enumerate(rows)} == {name: ref for name, ref, _ in typed}
+
+
 # -- packing
 
 

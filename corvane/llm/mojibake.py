@@ -109,15 +109,18 @@ def undo(word: str, step: str) -> str | None:
     return text if changed and text != word else None
 
 
-def candidates(word: str) -> list[tuple[str, str]]:
-    """(chain, form) for every chain that can be undone."""
-    out: list[tuple[str, str]] = []
+def candidates(word: str) -> list[tuple[str, str, int]]:
+    """(chain, form, sequences) for every chain that can be undone; sequences counts the UTF-8 sequences that were valid."""
+    out: list[tuple[str, str, int]] = []
     for chain in CHAINS:
         form: str | None = word
+        sequences = 0
         for step in chain.split():
             form = undo(form, step) if form is not None else None
+            if form is not None and step.startswith("utf-8"):
+                sequences += sum(c > "\x7f" for c in form)
         if form is not None and form != word and not any("\x80" <= c < "\xa0" for c in form):
-            out.append((chain, form))
+            out.append((chain, form, sequences))
     return out
 
 
@@ -227,6 +230,7 @@ def decide(slots: DataFrame, rounds: int = 4, doubt: float = 0.02) -> DataFrame:
     whose form is as frequent or looks far better, and a clean one gets its count back where its slots speak against the chain.
     """
     spark = slots.sparkSession
+    # luck: other text would make a valid UTF-8 sequence by chance once in 16 times at most
     types = cut_lineage(slots.select(F.explode("words").alias("w")).groupBy("w.word").agg(F.sum("w.n").cast("double").alias("n")))
     total, single = (float(v or 1) for v in types.agg(F.sum("n"), F.sum((F.col("n") == 1).cast("int"))).first())
     backoff = min(0.5, single / total)
@@ -240,7 +244,7 @@ def decide(slots: DataFrame, rounds: int = 4, doubt: float = 0.02) -> DataFrame:
                 for w, n in zip(b["word"], b["n"]):
                     known = candidates(w)
                     own = characters.log(w) if known else 0.0
-                    rows += [(w, n, chain, form, own, *_weigh(characters, chain, form)) for chain, form in known]
+                    rows += [(w, n, chain, form, own, characters.log(form), math.log(16) * sequences) for chain, form, sequences in known]
                 yield pd.DataFrame(rows, columns=["word", "n", "chain", "form", "own", "base", "luck"])
 
         return run
@@ -274,10 +278,12 @@ def decide(slots: DataFrame, rounds: int = 4, doubt: float = 0.02) -> DataFrame:
             change = out_of.select("word", (-F.col("out")).alias("n")).unionByName(into.select(F.col("form").alias("word"), F.col("in").alias("n")))
             model = spark.sparkContext.broadcast(_learn(types.unionByName(change)))
             x = pairs.mapInPandas(again(model), pairs.schema).join(out_of, "word", "left").join(into, "form", "left")
-            x = x.join(moved.select("word", "chain", F.col("n").alias("own_n"), F.col("k").alias("own_k")), ["word", "chain"], "left").fillna(0.0, ["out", "in", "own_n", "own_k"])
+            x = x.join(out_of.select(F.col("word").alias("form"), F.col("out").alias("form_out")), "form", "left")
+            x = x.join(moved.select("word", "chain", F.col("n").alias("own_n"), F.col("k").alias("own_k")), ["word", "chain"], "left").fillna(0.0, ["out", "in", "form_out", "own_n", "own_k"])
             part = F.when(F.col("own_k") > 0, F.col("own_n") / F.col("own_k")).otherwise(0.0)  # of the occurrence itself, which is no evidence for itself
-            form = _probability(F.col("seen") + F.col("in") - part, F.col("base"), total, backoff)
-            x = x.withColumn("r", F.col("luck") + form - _probability(F.col("n") - F.col("out") - (1 - part), F.col("own"), total, backoff))
+            form = _probability(F.col("seen") - F.col("form_out") + F.col("in") - part, F.col("base"), total, backoff)
+            clean = (F.col("n") - F.col("out")) * (1 - 1 / F.col("n"))
+            x = x.withColumn("r", F.col("luck") + form - _probability(clean, F.col("own"), total, backoff))
         x = x.select("word", "chain", "form", F.least("r", F.lit(500.0)).alias("r"))
         y = each.join(x, "word").repartition("ref", "h", "slot")
         if shares is None:
@@ -310,14 +316,6 @@ def decide(slots: DataFrame, rounds: int = 4, doubt: float = 0.02) -> DataFrame:
     raise ValueError("at least one round is needed")
 
 
-def _weigh(characters: Characters, chain: str, form: str) -> tuple[float, float]:
-    """log-probability of a form's characters, and what it says for a chain that its bytes happen to be valid.
-
-    Other text would make a valid UTF-8 sequence by chance once in 16 times at most.
-    """
-    return characters.log(form), math.log(16) * sum(c > "\x7f" for c in form) if chain.startswith("utf-8") else 0.0
-
-
 def garbled_slots(records: DataFrame, units: DataFrame) -> DataFrame:
     """(ref, slot): titles (-1) and paragraphs of source records that hold a garbled stretch."""
     s = _slots(records, units)

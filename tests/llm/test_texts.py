@@ -64,11 +64,11 @@ def garble(text, true, read):
 
 @pytest.mark.parametrize("word,true,read", [("café", "utf-8", "cp1252"), ("“gauge", "utf-8", "mac_roman"), ("Größe", "utf-8", "cp850"), ("старой", "koi8_r", "cp1251"), ("Таблица", "cp1251", "cp1252"), ("Πίνακας", "cp1253", "cp1252"), ("pilot’s", "cp1252", "mac_roman"), ("潮汐表", "shift_jis", "cp1252")])
 def test_chains_are_undone(word, true, read):
-    assert word in [form for _, form in mojibake.candidates(garble(word, true, read))]
+    assert word in [form for _, form, _ in mojibake.candidates(garble(word, true, read))]
 
 
 def test_double_and_clean_words():
-    assert "café" in [f for _, f in mojibake.candidates(garble(garble("café", "utf-8", "cp1252"), "utf-8", "cp1252"))]
+    assert "café" in [f for _, f, _ in mojibake.candidates(garble(garble("café", "utf-8", "cp1252"), "utf-8", "cp1252"))]
     assert mojibake.candidates("plain") == [] and mojibake.candidates("") == []
 
 

@@ -88,6 +88,22 @@ class Reply:
         return math.ceil(len(self.text().encode()) / 4)
 
 
+@dataclass
+class ReadReply:
+    ref: str
+    pieces: list[tuple[str, str, str]]
+    warnings: list[str] = field(default_factory=list)
+    continuation: str | None = None
+
+    def payload(self) -> str:
+        """The page's share of the stored text."""
+        return "".join(t + s for _, t, s in self.pieces)
+
+    def text(self) -> str:
+        lines = [f"{'warning'.ljust(16)} {w}" for w in self.warnings] + [f"{label.ljust(16)} {t}" for label, t, _ in self.pieces]
+        return "\n".join([*lines, *([f"{'continue'.ljust(16)} {self.continuation}"] if self.continuation else [])])
+
+
 class Found:
     """What a scope holds: its totals, and lists that are read by page.
 
@@ -308,8 +324,70 @@ class Corpus:
         A range goes from one live number to another in document order. A retired number gives the text that it
         named, between a line that says so and one that names the record to read instead.
         """
+        pages = self._pages(ref, self.current(), config)
+        return "".join(t + s for _, t, s in pages[page]), len(pages)
+
+    def read_reply(self, ref: str | None = None, cursor: str | None = None, config: ProjectConfig = ProjectConfig()) -> ReadReply:
+        """A page with its labels, the warnings of a note or manuscript, and a cursor while anything is left.
+
+        The texts and separators of all pages join to the stored text. Warnings take up to a quarter of a
+        reply; what does not fit comes with the next ones.
+        """
+        if (ref is None) == (cursor is None):
+            raise ValueError("give a reference or a cursor")
+        page, told, snapshot = 0, 0, self.current()
+        if cursor is not None:
+            c = decode_cursor(cursor)
+            if c.get("t") != "read":
+                raise ValueError("not a cursor of a read")
+            if c["rev"] != snapshot:
+                raise ValueError(f"the corpus changed since this cursor was made; read again: {c['ref']}")
+            ref, page, told = c["ref"], c["page"], c["told"]
+        room = config.reply_tokens * 4 - 1000
+        warnings = self._warnings(ref, snapshot)
+        if warnings:
+            room -= config.reply_tokens
+        pages = self._pages(ref, snapshot, config, room)
+        reply, left = ReadReply(ref, pages[page] if page < len(pages) else []), config.reply_tokens
+        for w in warnings[told:]:
+            left -= len(w.encode()) + 1
+            if left < 0 and reply.warnings:
+                break
+            reply.warnings.append(w)
+        after = {"page": min(page + 1, len(pages)), "told": told + len(reply.warnings)}
+        if after["page"] < len(pages) or after["told"] < len(warnings):
+            reply.continuation = encode_cursor({"t": "read", "rev": snapshot, "ref": ref, **after})
+        return reply
+
+    def _warnings(self, ref: str, snapshot: str) -> list[str]:
+        """The stored warnings of a note or manuscript, and what its citations of source records miss."""
+        r = refs.parse(ref)
+        if r.id:
+            return []
+        stored = self.table("records", snapshot).where(F.col("ref") == r.render()).select("warnings").first()
+        texts = self.table("paragraphs", snapshot).where(F.col("ref") == r.render()).orderBy("idx").select(refs.find_refs(F.col("text")).alias("r"))
+        cited = list(dict.fromkeys(x for row in texts.collect() for x in row["r"]))  # one record's
+        out = list(stored["warnings"] or []) if stored else []
+        if cited:
+            parsed = [refs.parse(x) for x in cited]
+            ids = sorted({x.id for x in parsed})
+            known = {(x["unit_id"], x["p"]): x["retired"] for x in self.anchors(snapshot).where(F.col("unit_id").isin(ids)).select("unit_id", "p", "retired").collect()}
+            units = {u for u, _ in known}
+            for x in parsed:
+                if x.id not in units:
+                    out.append(f"{x.render()}: no such record")
+                for n in (x.anchor, x.end):
+                    if x.id in units and n is not None:
+                        if (x.id, n) not in known:
+                            out.append(f"{x.render()}: {x.id} never had p{n}")
+                        elif known[x.id, n]:
+                            out.append(f"{x.render()}: p{n} is retired")
+        return out
+
+    def _pages(self, ref: str, snapshot: str, config: ProjectConfig, room: int | None = None) -> list[list[tuple[str, str, str]]]:
+        """The pages of a reference as (label, text, separator)."""
+        room = room or config.reply_tokens * 4 - 1000
         r = refs.parse(ref)
-        snapshot = self.current()
         p = self.table("paragraphs", snapshot).where(F.col("ref") == (r.id or r.render()))
         number: dict[int, int] = {}
         if r.id:
@@ -323,8 +401,7 @@ class Corpus:
             if r.shape == "anchor" and own[r.anchor]["retired"]:
                 text = known.where(F.col("p") == r.anchor).first()["text"]
                 text = f"{r.render()} - retired by snapshot {own[r.anchor]['retired']}; the text it cited:\n{text}\nThe record's current text is {r.id}."
-                pages = read.paginate([(r.render(), text)], config.reply_tokens * 4 - 1000)
-                return "".join(t + s for _, t, s in pages[page]), len(pages)
+                return read.paginate([(r.render(), text)], room)
             for n in (r.anchor, r.end):
                 if n is not None and own[n]["retired"]:
                     raise LookupError(f"{ref}: p{n} is retired; read {r.id} p{n} for the text it named")
@@ -336,5 +413,4 @@ class Corpus:
         units = [(f"{x['ref']} p{number[x['idx']]}" if x["idx"] in number else x["ref"], x["text"]) for x in p.orderBy("idx").collect()]  # one record
         if not units:
             raise LookupError(f"nothing to read at {ref}")
-        pages = read.paginate(units, config.reply_tokens * 4 - 1000)
-        return "".join(t + s for _, t, s in pages[page]), len(pages)
+        return read.paginate(units, room)

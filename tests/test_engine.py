@@ -223,6 +223,34 @@ def test_citations_keep_naming_their_text_across_versions(spark, tmp_path):
     assert c.read("SRC-000001 p4")[0].split("\n")[1] == "last" and c.read("SRC-000001 p2")[0].split("\n")[1] == "two gate"
 
 
+def test_reads_continue_by_cursor_and_warn(spark, tmp_path):
+    c = Corpus(spark, f"file://{tmp_path}/corpus")
+    long = ["word " * 900, "ä" * 4000, "end"]
+    rows = [("SRC-000001", "source", None, ("2001-01-01", "exact", "day", ""), "R", long, [], None, None, None, [], None)]
+    note = "See SRC-000001 p2, SRC-000001 p9, SRC-000007 and SRC-000001 p1-3."
+    rows.append(("notes/x.md", "note", None, ("", "unknown", "day", ""), "N", [note], [], None, None, None, ["notes/x.md: odd"] * 300, None))
+    c.commit(spark.createDataFrame(rows, RAW))
+    small, got, reply = ProjectConfig(reply_tokens=2000), [], None
+    while reply is None or reply.continuation:
+        reply = c.read_reply(cursor=reply.continuation, config=small) if reply else c.read_reply("SRC-000001", config=small)
+        assert len(reply.text().encode()) <= 8000
+        got.append(reply.payload())
+    assert "".join(got) == "\n\n".join(long) and len(got) > 1
+    told, texts, reply = [], [], None
+    while reply is None or reply.continuation:
+        reply = c.read_reply(cursor=reply.continuation, config=small) if reply else c.read_reply("notes/x.md", config=small)
+        told += reply.warnings
+        texts.append(reply.payload())
+    assert told == ["notes/x.md: odd"] * 300 + ["SRC-000001 p9: SRC-000001 never had p9", "SRC-000007: no such record"] and "".join(texts) == note
+    first = c.read_reply("SRC-000001", config=small).continuation
+    c.commit(spark.createDataFrame(rows[:1], RAW))
+    for bad in ({}, {"ref": "a.md", "cursor": first}, {"cursor": first}, {"cursor": c.search().continuation or "e30"}):
+        with pytest.raises(ValueError):
+            c.read_reply(**bad)
+    with pytest.raises(LookupError):
+        c.read_reply("notes/x.md")
+
+
 def test_every_list_of_a_search_is_paged_to_its_end(spark, tmp_path):
     import datetime as dt
 

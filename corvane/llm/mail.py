@@ -60,6 +60,8 @@ _MARK, _RULE = re.compile(MARK), re.compile(RULE)
 _LEGAL, _HINTS = LEGAL.replace("to leave, write", "to leave; write").split(", "), CONTACT_HINTS.split()
 _LEGAL = [x.replace(";", ",") for x in _LEGAL]
 _WORD = re.compile(r"[^\W_]+")
+_ENDED, _NUMBER = re.compile(r"[.!?;:。…][\"”’')]*$"), re.compile(r"\d+")
+_HEADED = re.compile(r"\b(?:Sent|To|Subject|Date|Gesendet|An|Betreff|Datum|Envoyé|Objet|Enviado|Para|Asunto)\*?:")
 _RE = re.compile(r"^(?:\s*(?:re|aw|fw|fwd|wg|tr|rv)\s*:)+\s*", re.IGNORECASE)
 
 ALONE = (
@@ -116,7 +118,7 @@ def parse(paragraphs: list[str]) -> tuple[dict, list[dict]]:
             header = bool(_RX["sep"].match(bare) or (_RX["header"].match(bare) and (_RX["first"].match(bare) or (current and current["header"]))))
             if header and _RX["first"].match(bare) and not _RX["sep"].match(bare):  # a header's first line needs a second one
                 following = " ".join(_unmark(x)[0] for x in lines[at + 1 : at + 3])
-                header = bool(_RX["header"].match(following.strip()) or re.search(r"\b(?:Sent|To|Subject|Date|Gesendet|An|Betreff|Datum|Envoyé|Objet|Enviado|Para|Asunto)\*?:", bare))
+                header = bool(_RX["header"].match(following.strip()) or _HEADED.search(bare))
             intro = bool(_RX["say"].search(bare)) and len(bare) < 160
             alone = "header" if header else "intro" if intro else "close" if _RX["close"].match(bare) else "rule" if _RULE.match(raw if depth == 0 else bare) else "device" if _RX["device"].match(bare) else ""
             kind = (depth > 0, indent, alone)
@@ -139,12 +141,11 @@ def _word_hash(word: str) -> int:
     return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
 
 
-def _shingles(text: str) -> np.ndarray:
-    """Hashes of the text's runs of five words."""
-    words = _WORD.findall(text.lower())
+def _shingles(words: list[str]) -> np.ndarray:
+    """Hashes of the runs of five words; the words are in lower case."""
     if len(words) < 5:
         return np.empty(0, dtype=np.int64)
-    w = np.array([_word_hash(x) for x in words], dtype=np.uint64)
+    w = np.fromiter(map(_word_hash, words), dtype=np.uint64, count=len(words))
     h = np.zeros(len(w) - 4, dtype=np.uint64)
     for k in range(5):
         h = (h ^ w[k : len(w) - 4 + k]) * np.uint64(0x9E3779B97F4A7C15)
@@ -153,22 +154,24 @@ def _shingles(text: str) -> np.ndarray:
 
 
 def describe(head: dict, blocks: list[dict]) -> np.ndarray:
-    """The features of the blocks that a mail alone gives; columns as in ALONE."""
+    """The features of the blocks that a mail alone gives; columns as in ALONE. Leaves each block's words in it."""
     out = np.zeros((len(blocks), len(ALONE)), dtype=np.float32)
     name = _name_words(head["sender"])
     marked = sum(b["depth"] > 0 for b in blocks)
+    initials = {n[0] for n in name}
     for k, b in enumerate(blocks):
         text, (_, indent, alone) = b["text"], b["kind"]
-        words = _WORD.findall(text)
+        words = b["words"] = _WORD.findall(text)
         low = text.lower()
         hits = _RX["contact"].findall(text) if any(h in low for h in _HINTS) else []
-        initials = {n[0] for n in name}
-        share = sum(w.lower() in name or (len(w) <= 3 and w.isupper() and w[0].lower() in initials) for w in words) / max(1, len(words))
+        share = 0.0  # only short blocks are names
+        if len(words) < 12:
+            share = sum(w.lower() in name or (len(w) <= 3 and w.isupper() and w[0].lower() in initials) for w in words) / max(1, len(words))
         values = {
             "depth": b["depth"], "indent": indent, "lines": len(b["at"]), "words": len(words), "intro": alone == "intro", "header": alone == "header",
-            "after_intro": k > 0 and blocks[k - 1]["kind"][2] == "intro", "contact": len(hits) / max(1, len(words) / 4), "name": share if len(words) < 12 else 0,
+            "after_intro": k > 0 and blocks[k - 1]["kind"][2] == "intro", "contact": len(hits) / max(1, len(words) / 4), "name": share,
             "closing": alone == "close", "rule": alone == "rule", "device": alone == "device", "legal": sum(x in low for x in _LEGAL),
-            "from_end": len(blocks) - k, "sentence": len(words) >= 5 and not hits and bool(re.search(r"[.!?;:。…][\"”’')]*$", text.strip())),
+            "from_end": len(blocks) - k, "sentence": len(words) >= 5 and not hits and bool(_ENDED.search(text.strip())),
             "one_line": len(b["at"]) == 1, "marked_others": marked - (b["depth"] > 0),
         }
         out[k] = [values[n] for n in ALONE]
@@ -314,8 +317,8 @@ def _blocks(conversions: DataFrame) -> DataFrame:
                 key = thread or f"subject {head['subject']}"
                 sender = " ".join(sorted(_name_words(head["sender"])))
                 for k, blk in enumerate(blocks):
-                    plain = " ".join(re.sub(r"\d+", "0", w.lower()) for w in _WORD.findall(blk["text"]))
-                    rows.append((conv, k, blk["para"], blk["at"], key, sender, head["time"], plain, _shingles(blk["text"]), x[k]))
+                    plain = " ".join(blk["words"]).lower()
+                    rows.append((conv, k, blk["para"], blk["at"], key, sender, head["time"], _NUMBER.sub("0", plain), _shingles(plain.split(" ")), x[k]))
             yield pd.DataFrame(rows, columns=["conv_id", "block", "para_idx", "lines", "thread", "sender", "time", "plain", "shingles", "x"])
 
     schema = "conv_id bigint, block int, para_idx int, lines array<int>, thread string, sender string, time bigint, plain string, shingles array<bigint>, x array<float>"

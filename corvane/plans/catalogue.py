@@ -423,7 +423,14 @@ def search_header(spark: SparkSession, d: str) -> DataFrame:
     return S.header(*_hybrid(spark, d))
 
 
-@query("snippets")
+_AROUND = _TOKS.format("w")
+
+
+@query("snippets", f"""WITH t AS (SELECT doc_id, text, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS words, {_TOKS.format("text")} AS toks FROM documents),
+h AS (SELECT doc_id, text, words, coalesce(list_position(list_transform(words, lambda w: list_has_any({_AROUND}, ['{_WORDS[0]}', '{_WORDS[1]}'])), true), 0) AS spot
+  FROM t WHERE list_contains(toks, '{_WORDS[0]}') AND list_contains(toks, '{_WORDS[1]}')),
+c AS (SELECT *, greatest(spot - 8, 1) AS first FROM h)
+SELECT doc_id, CASE WHEN spot = 0 THEN text[1:200] ELSE (CASE WHEN first > 1 THEN '...' ELSE '' END) || array_to_string(list_slice(words, first, first + 31), ' ') || (CASE WHEN first + 32 <= len(words) THEN '...' ELSE '' END) END AS snippet FROM c""")
 def snippets(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     phrases = [[w] for w in _WORDS]
@@ -462,7 +469,18 @@ def plan_candidates(spark: SparkSession, d: str) -> DataFrame:
     return P.plan_candidates(*_covered(spark, d)).select("ref", "iso", "tokens")
 
 
-@query("chunk_plan")
+_FOLD_PLAN = """, o AS (SELECT row_number() OVER (ORDER BY unknown, iso, ref) AS i, ref, tokens AS t, CASE WHEN unknown THEN 'unknown' ELSE iso END AS day FROM cand),
+b AS (SELECT i, ref, t, CAST(sum(t) OVER (PARTITION BY day) AS BIGINT) AS total, row_number() OVER (PARTITION BY day ORDER BY i) = 1 AS head FROM o),
+f AS (SELECT CAST(0 AS BIGINT) AS i, CAST('' AS VARCHAR) AS ref, CAST(0 AS BIGINT) AS t, CAST(0 AS BIGINT) AS spot, CAST(1 AS BIGINT) AS n, CAST(0 AS BIGINT) AS chunk, CAST(0 AS BIGINT) AS filled, false AS used
+UNION ALL SELECT i, ref, t, spot, n, CASE WHEN large THEN spot + n ELSE spot END, CASE WHEN large THEN 0 WHEN spot > c1 THEN t ELSE f1 + t END, NOT large FROM (
+  SELECT *, CASE WHEN large THEN c1 + CAST(u1 AS BIGINT) WHEN total > 8000 AND u1 AND f1 + t > 8000 THEN c1 + 1 ELSE c1 END AS spot, CASE WHEN large THEN CAST(ceil(t / 8000.0) AS BIGINT) ELSE 1 END AS n FROM (
+    SELECT b.i, b.ref, b.t, total, total > 8000 AND b.t > 8000 AS large, chunk + CAST(closed AS BIGINT) AS c1, CASE WHEN closed THEN 0 ELSE filled END AS f1, used AND NOT closed AS u1
+    FROM (SELECT b.*, f.chunk, f.filled, f.used, b.head AND f.used AND f.filled + b.total > 8000 AS closed FROM f JOIN b ON b.i = f.i + 1) b)))
+SELECT spot + k - 1 AS chunk, ref, CAST(k AS INTEGER) AS segment, CAST(n AS INTEGER) AS segments, CAST(greatest(0, least(8000, t - (k - 1) * 8000)) AS BIGINT) AS tokens
+FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM f WHERE i > 0)"""
+
+
+@query("chunk_plan", _CAND.replace("WITH ", "WITH RECURSIVE ", 1) + _FOLD_PLAN)
 def chunk_plan(spark: SparkSession, d: str) -> DataFrame:
     return P.chunk_plan(P.plan_candidates(*_covered(spark, d)), 8000)
 

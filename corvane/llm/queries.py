@@ -37,7 +37,12 @@ def _source_records(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "records").where(F.col("kind") == "source")
 
 
-@query("p2_found")
+@query("p2_found", """WITH r AS (SELECT DISTINCT ref, paragraphs FROM records WHERE kind = 'source' AND ref IS NOT NULL AND paragraphs IS NOT NULL),
+t AS (SELECT ref, list_filter(string_split_regex(lower(array_to_string(paragraphs, ' ')), '[ \\t\\n]+'), lambda w: w <> '') AS w FROM r),
+s AS (SELECT DISTINCT ref, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT ref, w, unnest(range(1, len(w) - 1)) AS i FROM t)),
+n AS (SELECT ref, count(*) AS c FROM s GROUP BY ref),
+b AS (SELECT x.ref AS ref_lo, y.ref AS ref_hi, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.ref < y.ref GROUP BY x.ref, y.ref)
+SELECT ref_lo, ref_hi FROM b JOIN n lo ON lo.ref = ref_lo JOIN n hi ON hi.ref = ref_hi WHERE k >= 0.6 * (lo.c + hi.c - k)""")
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     r = _source_records(spark, d).select("ref", "paragraphs")
     return near_duplicate_pairs(r, threshold=0.6, width=3)
@@ -49,7 +54,13 @@ def p2_classes(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_classes(_source_records(spark, d).select("ref", "paragraphs"))
 
 
-@query("p3_found")
+_NEAR = """WITH v AS (SELECT DISTINCT vec_id, CAST(vector AS DOUBLE[]) AS x FROM para_vectors WHERE vector IS NOT NULL),
+n AS (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS l FROM v WHERE list_dot_product(x, x) > 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.x, b.x) / (a.l * b.l) AS c FROM n a JOIN n b ON a.vec_id <> b.vec_id),
+k AS (SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS nth FROM s) WHERE nth <= 5)"""
+
+
+@query("p3_found", f"{_NEAR} SELECT DISTINCT least(a, b) AS vec_lo, greatest(a, b) AS vec_hi FROM k")
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbour_pairs(table(spark, d, "para_vectors"), k=5)
 
@@ -75,7 +86,10 @@ def _oversized(spark: SparkSession, d: str) -> DataFrame:
     return oversized(table(spark, d, "records"), table(spark, d, "units"), table(spark, d, "project_configs"))
 
 
-@query("p5_found")
+@query("p5_found", """WITH r AS (SELECT DISTINCT ref, paragraphs FROM records WHERE kind = 'source' AND ref IS NOT NULL),
+s AS (SELECT ref, ceil(octet_length(encode(array_to_string(paragraphs, chr(10) || chr(10)))) / 4.0) AS size FROM r),
+c AS (SELECT DISTINCT project_id, unnest(root_ids) AS root, chunk_tokens FROM project_configs)
+SELECT DISTINCT project_id, ref FROM s JOIN units ON units.id = ref JOIN c ON c.root = root_id WHERE size > chunk_tokens""")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return split_items(_oversized(spark, d), with_text=False).where("piece > 0").select("project_id", "ref").distinct()
 

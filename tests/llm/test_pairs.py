@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from corvane.llm import leakage, lookalike, neardup, neighbours
+from corvane.llm import leakage, lookalike, neardup, neighbours, queries
 
 DATA = os.environ.get("CORVANE_TESTDATA", "/root/testdata/sf0.001")
 need_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -200,3 +200,15 @@ def test_lookalikes(spark):
     forms = {r["doc_id"]: r["canonical"] for r in lookalike.canonical_documents(d).collect()}
     assert forms[0] == "lock keeper’s file" and forms[len(texts) - 3] is None
     assert lookalike.same_looking_pairs(d.limit(0)).count() == 0
+
+
+@need_data
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_same_as_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for f in os.listdir(DATA):
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{DATA}/{f}')")
+    df, sql = queries.QUERIES[name](spark, DATA), con.sql(queries.SQL[name])
+    want = [tuple(r[sql.columns.index(c)] for c in df.columns) for r in sql.fetchall()]
+    assert sorted(tuple(r) for r in df.collect()) == sorted(want)

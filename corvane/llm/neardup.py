@@ -101,10 +101,12 @@ def signature_table(records: DataFrame, width: int, key: str = "ref", paragraphs
     r = records.select(F.col(key).alias("ref"), F.col(paragraphs).alias("ps")).where("ref IS NOT NULL AND ps IS NOT NULL")
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            bits = signatures(b["ps"].values, width)
-            name = [hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest() for x in bits]
-            yield pd.DataFrame({"ref": b["ref"].values, "hash": name, "n": [len(x) for x in bits], "bits": bits}).query("n > 0")
+        for batch in batches:
+            for start in range(0, len(batch), 1000):  # the words of so many records are held at once
+                b = batch.iloc[start : start + 1000]
+                bits = signatures(b["ps"].values, width)
+                name = [hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest() for x in bits]
+                yield pd.DataFrame({"ref": b["ref"].values, "hash": name, "n": [len(x) for x in bits], "bits": bits}).query("n > 0")
 
     return spread(r).mapInPandas(sign, "ref string, hash string, n int, bits array<bigint>")
 

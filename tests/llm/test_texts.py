@@ -228,6 +228,25 @@ def test_a_garbled_spelling_is_found_however_often_it_occurs(spark):
     assert {tuple(x) for x in mojibake.garbled_slots(r, u).collect()} == {(f"G{k}", p) for k in range(60) for p in (0, 1)}
 
 
+def test_garbled_with_long_texts_and_clashing_columns(spark):
+    clean = "Der Schlüssel für die Brücke liegt in der größten Hütte"
+    rows = [(f"S{k}", "source", clean, [clean, None, ""], "x", 1, "w", 7) for k in range(40)]
+    rows += [("L", "source", None, [(clean + " ") * 4000 + garble(clean, "utf-8", "cp1252")], "x", 1, "w", 7), ("T", "source", garble(clean, "utf-8", "cp850"), None, "x", 1, "w", 7), (None, "source", clean, [clean], None, None, None, None)]
+    rows += [("T", None, garble(clean, "utf-8", "cp850"), None, None, None, None, None)]
+    r = spark.createDataFrame(rows, "ref string, kind string, title string, paragraphs array<string>, h string, slot int, word string, m int")
+    u = spark.createDataFrame([("S1", 1, "a"), ("S1", 2, "b"), (None, 3, "c"), ("T", None, None)], "id string, root_id int, source string")
+    assert {tuple(x) for x in mojibake.garbled_slots(r, u).collect()} == {("L", 0), ("T", -1)}
+    got = {(x["ref"], x["slot"]): x["repaired"] for x in mojibake.repaired_slots(r, u).collect()}
+    assert got == {("L", 0): (clean + " ") * 4000 + clean, ("T", -1): clean}
+
+
+def test_names_with_ties_and_clashing_columns(spark):
+    m = spark.createDataFrame([(1, "Ada Stone", "r", 1.0, 3), (2, "J. Reed", "r", 1.0, 3), (2, "J. Reed", "r", 1.0, 3), (None, "Ada Stone", None, None, None), (3, "word " * 20_000, "r", 1.0, 3)], "mention_id bigint, name_text string, ref string, cost double, n int")
+    e = spark.createDataFrame([("a", "person", "Ada Stone", None, 1), ("j1", "person", "Jane Reed", [""], 1), ("j2", "person", "John Reed", [None], 1), ("a", "person", "Ada Stone", None, 1)], "ref string, note_type string, title string, aliases array<string>, posterior int")
+    got = {x["mention_id"]: x["entity_ref"] for x in names.attribute_names(m, e).collect()}
+    assert got.get(1) == "a" and 3 not in got and set(got) <= {1, 2}
+
+
 def test_words_beyond_ascii_and_their_places():
     text = "(café), 7班の記録12 plain “x” ‚\\ £5.20 l’été."
     found = mojibake.words_of(text)

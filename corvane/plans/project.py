@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import ledger
 from corvane.plans.engine import Corpus
-from corvane.session import cut_lineage
+from corvane.session import cut_lineage, ship_package
 from corvane.sources import convert, notes
 from corvane.sources.notes import RECORD
 
@@ -42,10 +42,16 @@ class Project:
     """Source folders, and maybe one of notes and one of manuscripts, below storage that all executors share."""
 
     def __init__(self, spark: SparkSession, folder: str, sources: list[str], notes: str | None = None, manuscript: str | None = None, embed: Callable[[list[str]], list[list[float]]] | None = None):
+        ship_package(spark)
         self.spark, self.folder, self.embed = spark, folder.rstrip("/"), embed
-        self.sources = list(dict.fromkeys(s.rstrip("/") for s in sources))  # the same folder twice is read once
-        self.notes, self.manuscript = notes, manuscript
         self.corpus = Corpus(spark, f"{self.folder}/corpus")
+        self.sources = list(dict.fromkeys(map(self._whole, sources)))  # the same folder twice is read once
+        self.notes, self.manuscript = (self._whole(x) if x else None for x in (notes, manuscript))
+
+    def _whole(self, folder: str) -> str:
+        """A folder's name with its file system, in one spelling."""
+        fs, path = self.corpus._files(folder.rstrip("/") or "/")
+        return path.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString()
 
     def _there(self, folder: str) -> None:
         fs, path = self.corpus._files(folder)

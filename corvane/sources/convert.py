@@ -268,8 +268,9 @@ def source_date(converter: Column, paragraphs: Column, metadata: Column, path: C
 def scan_files(spark, root: str, root_id: int = 1) -> DataFrame:
     """Files below a root as (root_id, rel_path, path_key, sha256, converter, content); dot files and cache/ are left out."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    plain = re.sub(r"^file:/*", "/", root.rstrip("/"))
     rel = F.regexp_replace("path", r"^file:/*", "/")
-    rel = F.substring(rel, F.lit(len(root.rstrip("/")) + 2), F.length(rel))
+    rel = F.substring(rel, F.lit(len(plain) + 2), F.length(rel))
     f = f.select(F.lit(root_id).alias("root_id"), rel.alias("rel_path"), F.sha2("content", 256).alias("sha256"), "content")
     f = f.where(~F.col("rel_path").rlike(r"(^|/)\.|(^|/)cache/"))
     return f.withColumn("path_key", F.concat(F.lpad(F.col("root_id").cast("string"), 3, "0"), F.lit("/"), "rel_path")).withColumn("converter", converter_of(F.col("rel_path")))

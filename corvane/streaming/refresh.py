@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.session import ship_package
 from corvane.sources.convert import convert, converter_of
 
 
 def stream_conversions(spark: SparkSession, folder: str, target: str, checkpoint: str, available_now: bool = True):
     """Start a stream from files below folder to conversion rows below target (a folder per batch)."""
+    ship_package(spark)
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", "true").load(folder)
     files = files.where(~F.col("path").rlike(r"/(?:\.[^/]*|cache)(?:/|$)")).withColumn("converter", converter_of(F.col("path"))).where(F.col("converter").isNotNull())
 

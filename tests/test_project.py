@@ -95,8 +95,11 @@ def test_an_empty_project(spark, tmp_path):
     (tmp_path / "src").mkdir()
     p = Project(spark, f"file://{tmp_path}/store", [str(tmp_path / "src")])
     assert p.refresh().records == 0 and p.corpus.search().header["records"] == 0
-    (tmp_path / "src/a.txt").write_text("one")
+    (tmp_path / "src/a ü%20b.txt").write_text("one")
     assert p.refresh().records == 1
+    again = Project(spark, f"file://{tmp_path}/store", [f"file://{tmp_path}/src/", f"{tmp_path}/src"])
+    assert again.refresh() == p.report() and len(again.sources) == 1
+    assert [x["rel_path"] for x in again._files({again.sources[0]: 1}).collect()] == ["a ü%20b.txt"]
 
 
 def test_embedders_are_checked(spark):

@@ -266,12 +266,12 @@ def decide(slots: DataFrame, rounds: int = 4, doubt: float = 0.02) -> DataFrame:
     # below this a word is rather clean even in a slot most of which went through the chain
     pairs = cut_lineage(pairs.where(r(start) > math.log((1 - max(TOUCHED)) / max(TOUCHED))))
     each = slots.select("ref", "h", "slot", "kind", "source", "field", "m", F.explode("words").alias("w")).select("*", "w.word", F.col("w.n").alias("k")).drop("w")
-    each = cut_lineage(each.join(pairs.select("word").distinct(), "word", "left_semi"))
+    each = cut_lineage(each.join(pairs.select("word").distinct(), "word", "left_semi").withColumn("clean", F.lit(0.0)))
     before = math.log(doubt / len(CHAINS)) - math.log(1 - doubt)
     shares = moved = None
     for step in range(rounds):
         if moved is None:
-            x = pairs.withColumn("r", r(start))
+            x = pairs.withColumns({"gain": F.col("luck") + _probability(F.col("seen"), F.col("base"), total, backoff), "left": start})
         else:
             out_of = moved.groupBy("word").agg(F.sum("n").alias("out"))
             into = moved.groupBy("form").agg(F.sum("n").alias("in"))
@@ -282,10 +282,11 @@ def decide(slots: DataFrame, rounds: int = 4, doubt: float = 0.02) -> DataFrame:
             x = x.join(moved.select("word", "chain", F.col("n").alias("own_n"), F.col("k").alias("own_k")), ["word", "chain"], "left").fillna(0.0, ["out", "in", "form_out", "own_n", "own_k"])
             part = F.when(F.col("own_k") > 0, F.col("own_n") / F.col("own_k")).otherwise(0.0)  # of the occurrence itself, which is no evidence for itself
             form = _probability(F.col("seen") - F.col("form_out") + F.col("in") - part, F.col("base"), total, backoff)
-            clean = (F.col("n") - F.col("out")) * (1 - 1 / F.col("n"))
-            x = x.withColumn("r", F.col("luck") + form - _probability(clean, F.col("own"), total, backoff))
-        x = x.select("word", "chain", "form", F.least("r", F.lit(500.0)).alias("r"))
-        y = each.join(x, "word").repartition("ref", "h", "slot")
+            x = x.withColumns({"gain": F.col("luck") + form, "left": F.col("n") - F.col("out")})
+        # an occurrence's own share of the word's clean count says nothing for it
+        y = each.join(x.select("word", "chain", "form", "gain", "own", "left"), "word")
+        y = y.withColumn("r", F.least(F.col("gain") - _probability(F.col("left") - F.col("k") * F.col("clean"), F.col("own"), total, backoff), F.lit(500.0)))
+        y = y.drop("gain", "own", "left", "clean").repartition("ref", "h", "slot")
         if shares is None:
             y = y.withColumn("odds", F.lit(before))
         else:
@@ -307,7 +308,9 @@ def decide(slots: DataFrame, rounds: int = 4, doubt: float = 0.02) -> DataFrame:
             y = y.withColumn("any", F.sum(F.col("odds") / F.col("met")).over(Window.partitionBy("ref", "h", "slot")))
             return y.select("ref", "h", "slot", "kind", "word", "chain", "form", "odds", (F.col("any") / (1 + F.col("any"))).alias("slot_posterior"), "posterior")
         y = y.withColumn("slot_posterior", F.col("odds") / (1 + F.col("odds")))
-        y = cut_lineage(y.select("source", "field", "word", "chain", "form", "k", "posterior", (F.col("slot_posterior") / F.col("met")).alias("part")))
+        y = y.withColumn("clean", 1 - F.col("any") / (1 + F.col("any")))
+        y = cut_lineage(y.select(*each.columns, "chain", "form", "posterior", (F.col("slot_posterior") / F.col("met")).alias("part")))
+        each = y.groupBy(*[c for c in each.columns if c != "clean"]).agg(F.first("clean").alias("clean"))
         moved = cut_lineage(y.groupBy("word", "chain", "form").agg(F.sum(F.col("k") * F.col("posterior")).alias("n"), F.sum("k").cast("double").alias("k")))
         seen = y.groupBy("source", "field", "chain").agg(F.sum("part").alias("g")).join(share_of, ["source", "field"])
         seen = seen.withColumn("share", (F.col("g") + 50 * doubt / len(CHAINS)) / (F.col("slots") + 50))

@@ -9,12 +9,13 @@ than d_k * sqrt(chi2_inv(p, m)), where d_k is the k-th best true distance so far
 unseen with probability below 1 - p each.
 
 Distribution: the upper part of the tree is built on the driver from a bounded sample (sample_rows) and
-only names cells, each with its box; all vectors are indexed. Each vector is sent to its own cell first
-and answered there (round 1), which gives d_k; it is then sent only to those other cells whose boxes lie
-within its stopping radius (round 2). Within a cell the tree goes on down to leaves, built over all of
-the cell's rows. A cell that got more rows than expected (a third of all rows may be copies of one
-vector) is cut further into slices of at most slice_rows by a hash, and each query visits all slices of
-the cell. Equal vectors are answered once: they collapse to one class before the search.
+only names cells, each with its box; all vectors are indexed. They are written to the shared folder cell by
+cell, and no vector is sent to another: a task holds a block of at most slice_rows queries of neighbouring
+cells and streams the cells past it, its own first, then by growing distance of their boxes. So d_k is small
+when the far cells come; a cell that lies beyond every query's stopping radius is not read. What is in
+memory is one block, one batch of a cell and one product of theirs, however many cells there are and however
+many rows a cell got. Within a batch the tree goes on down to leaves. Equal vectors are answered once: they
+collapse to one class before the search.
 
 Defined results: null vectors, vectors of zero length or with other dimensions than most or with values
 that are no numbers take no part; equal vectors are each other's neighbours at similarity 1 (of more than k
@@ -28,11 +29,13 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.session import cut_lineage, spread
+from corvane.session import cut_lineage, shared_path, spread
 
 
 def chi2_inv(p: float, m: int) -> float:
@@ -55,6 +58,10 @@ def chi2_inv(p: float, m: int) -> float:
     return hi
 
 
+#: Queries that go through a batch's leaves together, and rows of a cell that are read at once.
+STEP, BATCH = 2048, 20_480
+
+
 class Tree:
     """A kd-tree over points: widest dimension, median cut, leaves of at most `leaf` points."""
 
@@ -88,43 +95,36 @@ class Tree:
         return out
 
 
-def search(points, ids, projected, queries, query_projected, query_ids, best_d, best_i, k: int, limit: float, leaf: int):
-    """Lower best_d (squared, ascending) and best_i of each query by the points; in place.
+def search(points, ids, projected, queries, query_projected, query_ids, rows, best_d, best_i, k: int, limit: float, leaf: int):
+    """Lower best_d (squared, ascending) and best_i of the queries named by rows by the points; in place.
 
-    Leaves are visited step by step in order of their distance: in step s every query that has not
-    stopped visits its s-th leaf, and all visitors of a leaf are verified by one matrix product.
+    Leaves are visited in order of their distance from some neighbouring queries together; each of them
+    skips a leaf by its own stopping test. All visitors of a leaf are verified by one matrix product.
     """
     tree = Tree(projected, leaf)
     points, ids = points[tree.order], ids[tree.order]
-    for start in range(0, len(queries), 8192):
-        part = slice(start, start + 8192)
+    for start in range(0, len(rows), STEP):
+        part = rows[start : start + STEP]
         box = tree.distances(query_projected[part])
-        order = np.argsort(box, axis=1, kind="stable")
-        q, d, i, own = queries[part], best_d[part], best_i[part], query_ids[part]
-        active = np.arange(len(q))
-        for step in range(order.shape[1]):
-            at = order[active, step]
-            active_box = box[active, at]
-            go = active_box <= d[active, k - 1] * limit  # the chi-square stopping test
-            active, at = active[go], at[go]
-            if not len(active):
-                break
-            for which in np.unique(at):
-                rows = active[at == which]
-                a, b = tree.leaves[which]
-                near = np.maximum(2 - 2 * (q[rows] @ points[a:b].T), 0)
-                near[own[rows][:, None] == ids[a:b]] = np.inf
-                if b - a > k:
-                    take = np.argpartition(near, k - 1, axis=1)[:, :k]
-                    # ties at the cut fall to smaller ids: settled when lists are merged at the end
-                    near = np.take_along_axis(near, take, axis=1)
-                    name = ids[a:b][take]
-                else:
-                    name = np.broadcast_to(ids[a:b], near.shape)
-                all_d, all_i = np.concatenate([d[rows], near], axis=1), np.concatenate([i[rows], name], axis=1)
-                first = np.lexsort((all_i, all_d), axis=1)[:, :k]
-                d[rows], i[rows] = np.take_along_axis(all_d, first, axis=1), np.take_along_axis(all_i, first, axis=1)
-        best_d[part], best_i[part] = d, i
+        for which in np.argsort(box.mean(axis=0), kind="stable"):
+            go = part[box[:, which] <= best_d[part, k - 1] * limit]  # the chi-square stopping test
+            if not len(go):
+                continue
+            a, b = tree.leaves[which]
+            cosine = queries[go] @ points[a:b].T
+            better = cosine.max(axis=1) >= 1 - best_d[go, k - 1] / 2 - 1e-6
+            if not better.any():
+                continue
+            go, near = go[better], np.maximum(2 - 2 * cosine[better], 0)
+            near[query_ids[go][:, None] == ids[a:b]] = np.inf
+            if b - a > k:
+                take = np.argpartition(near, k - 1, axis=1)[:, :k]
+                near, name = np.take_along_axis(near, take, axis=1), ids[a:b][take]
+            else:
+                name = np.broadcast_to(ids[a:b], near.shape)
+            all_d, all_i = np.concatenate([best_d[go], near], axis=1), np.concatenate([best_i[go], name], axis=1)
+            first = np.lexsort((all_i, all_d), axis=1)[:, :k]
+            best_d[go], best_i[go] = np.take_along_axis(all_d, first, axis=1), np.take_along_axis(all_i, first, axis=1)
 
 
 class _Cells:
@@ -167,18 +167,52 @@ class _Cells:
                 stack += [(left, rows[below]), (right, rows[~below])]
         return out
 
-    def within(self, points: np.ndarray, radius2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(point, cell) for every cell whose box lies within the squared radius of the point."""
-        far = np.zeros((len(points), len(self.low)))
-        for d in range(points.shape[1]):
-            p = points[:, d : d + 1]
-            gap = np.maximum(np.maximum(self.low[:, d] - p, p - self.high[:, d]), 0)
-            far += gap * gap
-        return np.nonzero(far <= radius2[:, None])
-
-
-def _matrix(column) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float32) for v in column])
+    def reach(self, cell: int, points: np.ndarray) -> np.ndarray:
+        """Squared distance from each point to the cell's box."""
+        gap = np.maximum(np.maximum(self.low[cell] - points, points - self.high[cell]), 0)
+        return (gap * gap).sum(axis=1)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors kept as the bytes of their floats."""
+    if not len(column):
+        return np.zeros((0, 0), dtype=np.float32)
+    _, offsets, data = column.cast(pa.binary()).buffers()
+    at = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, dtype=np.float32, offset=at[0], count=(at[-1] - at[0]) // 4).reshape(len(column), -1)
+
+
+def _bytes(x: np.ndarray) -> pa.Array:
+    x = np.ascontiguousarray(x, dtype=np.float32)
+    at = np.arange(len(x) + 1, dtype=np.int32) * np.int32(x.shape[1] * 4)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(at), pa.py_buffer(x)])
+
+
+def _read(folder: str, cell: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, vectors, asked) of a cell, some rows at once; the order is the same each time."""
+    files, path = fs.FileSystem.from_uri(folder)
+    for f in sorted(x.path for x in files.get_file_info(fs.FileSelector(f"{path}/cell={cell}")) if x.path.endswith(".parquet")):
+        with files.open_input_file(f) as opened:
+            for b in pq.ParquetFile(opened, buffer_size=1 << 20).iter_batches(BATCH, columns=["id", "v", "asked"]):
+                yield b["id"].to_numpy(), _matrix(b["v"]), b["asked"].to_numpy(zero_copy_only=False)
+
+
+def _blocks(asked: dict[int, int], most: int) -> list[tuple[int, int, int, int]]:
+    """(first cell, last cell, part, parts): at most so many queries each, of one cell or several neighbouring ones."""
+    out: list[tuple[int, int, int, int]] = []
+    held = 0
+    for cell, n in sorted(asked.items()):
+        if n > most:
+            parts = -(-n // most)
+            out += [(cell, cell, part, parts) for part in range(parts)]
+            held = most
+        elif n and out and held + n <= most:
+            out[-1] = (out[-1][0], cell, 0, 1)
+            held += n
+        elif n:
+            out.append((cell, cell, 0, 1))
+            held = n
+    return out
 
 
 def nearest(
@@ -209,95 +243,92 @@ def nearest(
     dim = dims["n"]
     directions = np.random.default_rng(seed).standard_normal((dim, m)).astype(np.float32)
 
-    def unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if len(b):
-                x = np.stack([np.asarray(r, dtype=np.float64) for r in b["v"].values])
+            for start in range(0, b.num_rows, 4096):
+                own = b.slice(start, 4096)
+                x = own["v"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(own.num_rows, dim)
                 x /= np.abs(x).max(axis=1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                yield pd.DataFrame({"id": b["id"], "v": list(x.astype(np.float32))})
+                yield pa.RecordBatch.from_arrays([own["id"], _bytes(x.astype(np.float32) + 0)], ["id", "v"])  # no -0.0, which has other bytes
 
-    v = spread(v.where(F.size("v") == dim)).mapInPandas(unit, "id bigint, v array<float>")
-    v = v.select("id", F.struct(F.xxhash64("v").alias("a"), F.hash("v").alias("b"), F.element_at("v", 1).alias("c")).alias("same"), "v")
+    v = spread(v.where(F.size("v") == dim)).mapInArrow(unit, "id bigint, v binary")
+    v = v.select("id", F.struct(F.xxhash64("v").alias("a"), F.hash("v").alias("b"), F.substring("v", 1, 4).alias("c")).alias("same"), "v")
     v = cut_lineage(v)
     # equal vectors become one point, named by its smallest id; its up to k + 1 smallest members answer for all
-    groups = v.groupBy("same").agg(F.min("id").alias("id"), F.first("v").alias("v"), F.count("*").alias("copies"))
-    points = cut_lineage(groups.select("id", "same", "v", "copies"))
+    points = cut_lineage(v.groupBy("same").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
     total = points.count()
-    share = min(1.0, sample_rows / max(1, total))
-    sample = points.select("id", "v").sample(share, seed=seed).limit(2 * sample_rows).toPandas().sort_values("id")
-    if len(sample) == 0:
-        sample = points.select("id", "v").limit(sample_rows).toPandas().sort_values("id")
-    cells = _Cells(_matrix(sample["v"].values) @ directions, max(1, round(total / cell_rows)))
+    if total == 0:
+        return spark.createDataFrame([], "vec_id bigint, neighbour_id bigint, similarity double")
+    some = v.where(F.pmod(F.xxhash64("same", F.lit(seed)), F.lit(total)) < sample_rows)
+    sample = some.groupBy("v").agg(F.min("id").alias("id")).limit(2 * sample_rows).toArrow().sort_by("id")
+    x = np.frombuffer(b"".join(sample["v"].to_pylist()), dtype=np.float32).reshape(-1, dim)
+    cells = _Cells(x @ directions, max(1, round(total / cell_rows)))
+    n_cells = len(cells.low)
     tree = spark.sparkContext.broadcast((cells, directions))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, a = tree.value
         for b in batches:
-            if len(b):
-                yield pd.DataFrame({"id": b["id"], "v": b["v"], "cell": c.find(_matrix(b["v"].values) @ a)})
-
-    placed = cut_lineage(points.select("id", "v").mapInPandas(place, "id bigint, v array<float>, cell int"))
-    sizes = placed.groupBy("cell").count()  # one row per cell, here and below
-    parts = sizes.select("cell", F.ceil(F.col("count") / slice_rows).cast("int").alias("slices"))
-    n_cells, most = parts.agg(F.count("*"), F.max("slices")).first()
-    none_d, none_i = F.lit(None).cast("array<float>"), F.lit(None).cast("array<bigint>")
-    answer = "id bigint, v array<float>, cell int, d array<float>, i array<bigint>"
-
-    def answer_cell(frame: pd.DataFrame) -> pd.DataFrame:
-        _, a = tree.value
-        held_rows, asked = frame[frame["held"]], frame[~frame["held"]]
-        if not len(asked):
-            return pd.DataFrame({n: pd.Series([], dtype=object) for n in ("id", "v", "cell", "d", "i")})
-        q = _matrix(asked["v"].values)
-        best_d = np.stack([np.full(k, 4.1, np.float32) if d is None else np.asarray(d, np.float32) for d in asked["d"].values])
-        best_i = np.stack([np.full(k, -1, np.int64) if i is None else np.asarray(i, np.int64) for i in asked["i"].values])
-        if len(held_rows):
-            x = _matrix(held_rows["v"].values)
-            search(x, held_rows["id"].values, x @ a, q, q @ a, asked["id"].values, best_d, best_i, k, limit, leaf)
-        return pd.DataFrame({"id": asked["id"].values, "v": asked["v"].values, "cell": asked["cell"].values, "d": list(best_d), "i": list(best_i)})
-
-    def ask(queries: DataFrame) -> DataFrame:
-        """Answers of each (query, cell, slice).
-
-        A task gets one slice of a cell's points and one block of its queries; the numbers of both grow
-        with the cell, so that neither grows in a task.
-        """
-        asked = queries.groupBy("cell").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("blocks"))
-        plan = asked.join(parts, "cell")
-        q = queries.join(plan, "cell").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-        q = q.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
-        h = placed.join(plan, "cell").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
-        h = h.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"d": none_d, "i": none_i})
-        names = ["cell", "slice", "block", "id", "v", "held", "d", "i"]
-        both = h.withColumn("held", F.lit(True)).select(names).unionByName(q.withColumn("held", F.lit(False)).select(names))
-        return both.groupBy("cell", "slice", "block").applyInPandas(answer_cell, answer)
-
-    asked = placed
-    if every > 1:
-        wanted = points.join(v.where(F.col("id") % every == 0).select("same").distinct(), "same", "left_semi").select("id")
-        asked = placed.join(wanted, "id", "left_semi").select("id", "v", "cell")
-    first = cut_lineage(ask(asked.withColumns({"d": none_d, "i": none_i})))
-    rows = first.select("id", F.explode(F.arrays_zip("d", "i")).alias("z")).select("id", F.col("z.i").alias("n"), F.col("z.d").alias("d"))
-    if n_cells > 1:
-
-        def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            c, a = tree.value
-            for b in batches:
-                if len(b):
-                    d = np.stack(b["d"].values)
-                    who, cell = c.within(_matrix(b["v"].values) @ a, d[:, k - 1].astype(np.float64) * limit)
-                    other = cell != b["cell"].values[who]
-                    who, cell = who[other], cell[other]
-                    yield pd.DataFrame({"id": b["id"].values[who], "v": b["v"].values[who], "cell": cell.astype(np.int32), "d": b["d"].values[who], "i": b["i"].values[who]})
-
-        # of a sliced cell's several answers, any is a valid bound; the smallest stops soonest
-        bound = first if most == 1 else first.groupBy("id").agg(F.min_by(F.struct("v", "cell", "d", "i"), F.element_at("d", -1)).alias("s")).select("id", "s.*")
-        second = ask(cut_lineage(bound.mapInPandas(route, answer)))
-        rows = rows.unionByName(second.select("id", F.explode(F.arrays_zip("d", "i")).alias("z")).select("id", F.col("z.i").alias("n"), F.col("z.d").alias("d")))
-    rows = rows.where("n >= 0").distinct()
-    best = rows.groupBy("id").agg(F.slice(F.sort_array(F.collect_set(F.struct("d", "n"))), 1, k).alias("near"))
-    near = best.select("id", F.explode("near").alias("x")).select("id", F.col("x.n").alias("n"), (1 - F.col("x.d").cast("double") / 2).alias("s"))
+            if b.num_rows:
+                ids, x = b["id"].to_numpy(), _matrix(b["v"])
+                order = np.argsort(ids, kind="stable")
+                # copies in a batch become one row here, so that no cell is flooded by those of one vector
+                _, first, same = np.unique(x.view(np.dtype((np.void, x.shape[1] * 4))).ravel()[order], return_index=True, return_inverse=True)
+                wanted = np.bincount(same, weights=ids[order] % every == 0) > 0
+                ids, x = ids[order[first]], x[order[first]]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), _bytes(x), pa.array(wanted), pa.array(c.find(x @ a))], ["id", "v", "asked", "cell"])
+
+    folder = shared_path(spark)
+    placed = v.select("id", "v").mapInArrow(place, "id bigint, v binary, asked boolean, cell int").repartition("cell")
+    placed = placed.groupBy("cell", "v").agg(F.min("id").alias("id"), F.max("asked").alias("asked"))  # equal vectors have one cell: no second shuffle
+    placed.write.partitionBy("cell").parquet(folder)
+    count = spark.read.schema("asked boolean, cell int").parquet(folder).groupBy("cell").agg(F.count_if("asked").alias("asked"), F.count("*").alias("held"))
+    count = {r["cell"]: (r["asked"], r["held"]) for r in count.collect()}  # one row per cell
+    asked = {c: n for c, (n, _) in count.items()}
+    blocks = _blocks(asked, max(1, min(slice_rows, -(-sum(asked.values()) // (4 * spark.sparkContext.defaultParallelism)))))
+
+    def answer(block: tuple[int, int, int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of a block's queries, squared distances and ids of their neighbours."""
+        c, a = tree.value
+        first, last, part, parts = block
+        own = [x for x in range(first, last + 1) if x in count]
+        q, q_ids, seen = [], [], 0
+        for cell in own:
+            for ids, x, wanted in _read(folder, cell):
+                mine = np.flatnonzero(wanted)
+                mine = mine[(np.arange(seen, seen + len(mine)) % parts) == part]
+                seen += int(wanted.sum())
+                q.append(x[mine])
+                q_ids.append(ids[mine])
+        q, q_ids = np.concatenate(q), np.concatenate(q_ids)
+        q_at = q @ a
+        order = Tree(q_at, STEP // 4).order  # neighbours stand together
+        q, q_ids, q_at = q[order], q_ids[order], q_at[order]
+        best_d, best_i = np.full((len(q), k), 4.1, np.float32), np.full((len(q), k), -1, np.int64)
+        few = q_at[:: max(1, len(q) // 256)]
+        far = {cell: (cell not in own, float(c.reach(cell, few).mean())) for cell in count}
+        for cell in sorted(count, key=lambda x: (far[x], x)):
+            reach = c.reach(cell, q_at)
+            if not (reach <= best_d[:, k - 1] * limit).any():
+                continue
+            for ids, x, _ in _read(folder, cell):
+                rows = np.flatnonzero(reach <= best_d[:, k - 1] * limit)
+                if len(rows):
+                    search(x, ids, x @ a, q, q_at, q_ids, rows, best_d, best_i, k, limit, leaf)
+        return q_ids, best_d, best_i
+
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for number in b["id"].to_pylist():
+                ids, d, i = answer(blocks[number])
+                for start in range(0, len(ids), BATCH):
+                    part = slice(start, start + BATCH)
+                    there = i[part] >= 0
+                    columns = np.repeat(ids[part], k)[there.ravel()], i[part][there], 1 - d[part][there].astype(np.float64) / 2
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["id", "n", "s"])
+
+    near = cut_lineage(spark.range(0, len(blocks), 1, max(1, len(blocks))).mapInArrow(answers, "id bigint, n bigint, s double"))
     out = _expand(v.select("id", "same"), points, near, k)
     return out.where(F.col("vec_id") % every == 0) if every > 1 else out
 
@@ -307,21 +338,27 @@ def _expand(members: DataFrame, points: DataFrame, near: DataFrame, k: int) -> D
 
     Of each group of equal vectors at most k + 1 members can be anyone's neighbours, so only those are sent.
     """
-    plain = points.where("copies = 1").select("id")
-    several = points.where("copies > 1").select("same", F.col("id").alias("point"))
-    own = members.join(several, "same")
-    lead = own.groupBy("point").agg(F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("lead"))
     if points.where("copies > 1").limit(1).count() == 0:
         return near.select(F.col("id").alias("vec_id"), F.col("n").alias("neighbour_id"), F.col("s").alias("similarity"))
-    target = near.join(lead.select(F.col("point").alias("n"), "lead"), "n", "left")
+    plain = points.where("copies = 1").select("id")
+    several = points.where("copies > 1").select("same", F.col("id").alias("point"))
+    own = members.join(several, "same").select("id", "point").distinct()
+    # a limit on ranks is applied before the shuffle too: a class of a third of all rows is never in one place
+    ranked = own.withColumn("nth", F.row_number().over(Window.partitionBy("point").orderBy("id"))).where(F.col("nth") <= k + 1)
+    lead = cut_lineage(ranked.groupBy("point").agg(F.array_sort(F.collect_list("id")).alias("lead")))
+    target = near.join(lead.withColumnRenamed("point", "n"), "n", "left")
     target = target.select("id", F.explode(F.coalesce("lead", F.array("n"))).alias("n"), "s")
-    single = target.join(plain, "id", "left_semi")
-    copies = own.select(F.col("id").alias("vec_id"), "point")
-    others = copies.join(target.withColumnRenamed("id", "point"), "point").select("vec_id", "n", "s")
-    twins = copies.join(lead, "point").select("vec_id", F.explode("lead").alias("n"), F.lit(1.0).alias("s")).where("vec_id <> n")
-    rows = single.select(F.col("id").alias("vec_id"), "n", "s").unionByName(others).unionByName(twins)
+    single = target.join(plain, "id", "left_semi").select(F.col("id").alias("vec_id"), "n", "s")
+    twins = own.join(lead, "point").select(F.col("id").alias("vec_id"), "point", "lead")
+    # more than k equal ones: the smallest of the others are the answer, and nothing else is looked at
+    full = twins.where(F.size("lead") > k).select("vec_id", F.explode(F.slice(F.filter("lead", lambda x: x != F.col("vec_id")), 1, k)).alias("n"), F.lit(1.0).alias("s"))
+    twins = twins.where(F.size("lead") <= k)
+    others = twins.select("vec_id", "point").join(target.withColumnRenamed("id", "point"), "point").select("vec_id", "n", "s")
+    twins = twins.select("vec_id", F.explode("lead").alias("n"), F.lit(1.0).alias("s")).where("vec_id <> n")
+    rows = single.unionByName(others).unionByName(twins)
     top = rows.groupBy("vec_id").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("s")).alias("d"), "n"))), 1, k).alias("x"))
-    return top.select("vec_id", F.explode("x").alias("x")).select("vec_id", F.col("x.n").alias("neighbour_id"), (-F.col("x.d")).alias("similarity"))
+    top = top.select("vec_id", F.explode("x").alias("x")).select("vec_id", F.col("x.n").alias("n"), (-F.col("x.d")).alias("s"))
+    return top.unionByName(full).select("vec_id", F.col("n").alias("neighbour_id"), F.col("s").alias("similarity"))
 
 
 def neighbour_pairs(vectors: DataFrame, k: int = 5, **how) -> DataFrame:
@@ -333,4 +370,3 @@ def neighbour_pairs(vectors: DataFrame, k: int = 5, **how) -> DataFrame:
 def neighbour_sample(vectors: DataFrame, k: int = 5, every: int = 20, **how) -> DataFrame:
     """Neighbours of the stated query set, every row whose id is divisible by `every`, against all rows."""
     return nearest(vectors, k, every=every, **how)
-

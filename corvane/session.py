@@ -70,6 +70,14 @@ def _shared_folder(spark: SparkSession) -> str:
     return _folders[context.applicationId]
 
 
+def shared_path(spark: SparkSession) -> str:
+    """The full URI of a new table in the shared folder, for Python workers that read parts of it with pyarrow."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{_shared_folder(spark)}/{uuid.uuid4().hex}")
+    uri = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString()
+    return uri if "://" in uri else uri.replace("file:/", "file:///", 1)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df as a table to the shared folder and read it back.
 

@@ -5,8 +5,10 @@ import os
 import re
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
+from corvane import session
 from corvane.llm import leakage, lookalike, neardup, neighbours, queries
 
 DATA = os.environ.get("CORVANE_TESTDATA", "/root/testdata/sf0.001")
@@ -87,6 +89,37 @@ def test_neighbours_of_odd_vectors(spark):
     assert neighbours.nearest(df.limit(0), 5).count() == 0
 
 
+def test_neighbours_of_copies_in_many_cells_are_those_of_brute_force_and_no_vector_is_kept_per_cell(spark):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((1500, 16)).astype(np.float32)
+    times = [1] * 1480 + [2, 3, 4, 5, 6, 7, 8, 90] * 2 + [1] * 4
+    x = np.repeat(base, times, axis=0)
+    x = x[rng.permutation(len(x))]
+    ids = np.arange(len(x)) * 3 + 1
+    unit = (x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)).astype(np.float64)
+    near = (unit @ unit.T).round(12)
+    np.fill_diagonal(near, -9)
+    want = {(int(ids[a]), int(ids[b])) for a in range(len(x)) for b in np.lexsort((ids, -near[a]))[:5]}
+    df = spark.createDataFrame([(int(i), y.tolist()) for i, y in zip(ids, x, strict=True)], "vec_id bigint, vector array<float>").repartition(4)
+    folder = session._shared_folder(spark).removeprefix("file://")
+    files = lambda: {os.path.join(d, f) for d, _, names in os.walk(folder) for f in names if f.endswith(".parquet")}
+    before = files()
+    got = [(r["vec_id"], r["neighbour_id"]) for r in neighbours.nearest(df, 5, cell_rows=15, slice_rows=200, leaf=4).collect()]
+    assert len(got) == len(set(got)) == 5 * len(x)
+    assert len(set(got) & want) >= 0.997 * len(want)
+    copied = {int(i) for i, c in zip(ids, (near > 1 - 1e-9).sum(axis=1), strict=True) if c >= 5}
+    assert copied and {p for p in got if p[0] in copied} == {p for p in want if p[0] in copied}
+    kept = [pq.ParquetFile(f) for f in files() - before]
+    assert sum(f.metadata.num_rows for f in kept if "v" in f.schema_arrow.names) <= 2 * len(x)  # 100 cells, but no copy for each
+    some = [(r["vec_id"], r["neighbour_id"]) for r in neighbours.nearest(df, 5, cell_rows=15, slice_rows=200, leaf=4, every=20).collect()]
+    assert sorted(some) == sorted(p for p in got if p[0] % 20 == 0)
+
+
+def test_blocks_of_queries_are_bounded_and_cover_each_cell():
+    blocks = neighbours._blocks({0: 5, 1: 0, 2: 4, 3: 25, 4: 1, 6: 10}, 10)
+    assert blocks == [(0, 2, 0, 1), (3, 3, 0, 3), (3, 3, 1, 3), (3, 3, 2, 3), (4, 4, 0, 1), (6, 6, 0, 1)]
+
+
 def test_chi_square_and_hilbert_free_tree():
     assert abs(neighbours.chi2_inv(0.95, 8) - 15.507) < 1e-2
     points = np.random.default_rng(0).standard_normal((500, 4))
